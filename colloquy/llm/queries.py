@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import containers, copies, defects, mixture, pieces, residue, turns
+from colloquy.llm import containers, copies, defects, leaks, mixture, overlap, pieces, pii, residue, turns
 from colloquy.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,14 @@ def queries() -> dict[str, Query]:
         "p6_found": lambda s, d: containers.find_cut_rows(table(s, d, "sft_rows"), table(s, d, "size_limits")),
         "p6_containers": lambda s, d: containers.pack_rows(table(s, d, "sft_rows"), table(s, d, "size_limits")),
         "p6_fill": lambda s, d: containers.fill_report(table(s, d, "sft_rows"), table(s, d, "size_limits")),
+        "p7_found": lambda s, d: overlap.find_overlaps(table(s, d, "meetings")).select("row_id_a", "row_id_b"),
+        "p7_report": lambda s, d: overlap.overlap_report(table(s, d, "meetings")),
+        "p8_found": lambda s, d: leaks.find_leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_report": lambda s, d: leaks.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_mix": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p10_found": lambda s, d: pii.find_pii(table(s, d, "documents")),
+        "p10_masked": lambda s, d: pii.mask_pii(table(s, d, "documents")),
     }
 
 
