@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.functions.text import U, strip
 from colloquy.operators.curate import split_alias
 
 UTTERANCES = "array<struct<speaker:string,text:string>>"
-REFS = "struct<summary:string,topic:string,topics:array<string>,queries:array<struct<query:string,answer:string>>,segment_summaries:array<string>,agenda:array<string>>"
-MEETING = T._parse_datatype_string(f"id string, source string, lang string, split string, utterances {UTTERANCES}, refs {REFS}, meta map<string,string>")
+_REFS = {"summary": "string", "topic": "string", "topics": "array<string>", "queries": "array<struct<query:string,answer:string>>", "segment_summaries": "array<string>", "agenda": "array<string>"}
+REFS = "struct<" + ",".join(f"{k}:{v}" for k, v in _REFS.items()) + ">"
+MEETING = f"id string, source string, lang string, split string, utterances {UTTERANCES}, refs {REFS}, meta map<string,string>"
 
 _PAIRS = "array<struct<query:string,answer:string>>"
 RAW = {
@@ -31,10 +31,7 @@ def same(c: Column) -> Column:
 
 
 def _refs(**known: Column) -> Column:
-    parts = []
-    for f in T._parse_datatype_string(REFS).fields:
-        parts.append(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name))
-    return F.struct(*parts)
+    return F.struct(*(known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _REFS.items()))
 
 
 def _utterance(speaker: Column, text: Column) -> Column:
