@@ -201,7 +201,7 @@ def _names(text: str, lexicon: Lexicon) -> list[Span]:
 
 PRIORS: dict[str, float] = {
     "email": 1, "email:sign": 2, "email:words": 0.5, "email:top": 1,
-    "phone": 0.5, "phone:plus": 2, "phone:bracket": 2, "phone:groups": 1.5, "phone:plain": -0.5, "phone:cue": 2, "phone:other_number": -4, "phone:id_cue": -1, "phone:short": -2,
+    "phone": 0.5, "phone:plus": 2, "phone:bracket": 2, "phone:groups": 1.5, "phone:plain": 0.2, "phone:cue": 2, "phone:other_number": -4, "phone:id_cue": -1, "phone:short": -2,
     "id": -0.5, "id:3-2-4": 2, "id:letters": 0, "id:digits": -1, "id:cue": 2.5, "id:other_number": -4, "id:phone_cue": -2,
     "phone:spoken": 1, "phone:spoken_cue": 1.5, "phone:spoken_bare": 0, "phone:spoken_few": -2, "id_number:spoken": 1, "id_number:spoken_cue": 1.5, "id_number:spoken_bare": 0, "id_number:spoken_few": 0,
     "street": 2, "street:number": 1, "street:spoken": 0, "street:han": 2,

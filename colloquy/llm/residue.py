@@ -8,7 +8,6 @@ terms with the record's own prompt (which stands in for the address slug).
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -88,8 +87,8 @@ class Letters:
     """Letter trigrams of all words of the corpus; meaningless strings have improbable ones."""
 
     def __init__(self, counts: np.ndarray):
-        c = counts.reshape(27 * 27, 27).astype(float) + 0.02
-        self.logp = np.log(c / c.sum(axis=1, keepdims=True)).ravel()
+        self.counts = counts
+        self.contexts = counts.reshape(27 * 27, 27).sum(axis=1)
 
     @staticmethod
     def codes(word: str) -> list[int]:
@@ -97,12 +96,19 @@ class Letters:
         return [(a[i] * 27 + a[i + 1]) * 27 + a[i + 2] for i in range(len(a) - 2)]
 
     def score(self, words: list[str]) -> float:
-        at = [i for w in words for i in self.codes(w)]
-        return float(self.logp[at].mean()) if at else 0.0
+        """Mean log probability of the words' trigrams, their own counts taken out; rare contexts are as improbable as what never follows a common one."""
+        own = Counter(i for w in words for i in self.codes(w))
+        if not own:
+            return 0.0
+        at = np.fromiter(own, dtype=np.int64)
+        n = np.fromiter(own.values(), dtype=np.int64)
+        c, t = np.maximum(self.counts[at] - n, 0), np.maximum(self.contexts[at // 27] - n, 0)
+        logp = np.where(t < 5, np.log(1e-3), np.log((c + 0.02) / (t + 0.54)))
+        return float((logp * n).sum() / n.sum())
 
 
 #: Mean log probability of a trigram below which a unit of at least four words is no language.
-MEANINGLESS = -4.6
+MEANINGLESS = -5.0
 
 
 # Frequent words; a unit that holds one is language, whatever its other words are.
