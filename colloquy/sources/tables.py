@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes from which a table that comes in fewer splits than there are cores is spread over them.
+SPREAD_FROM = 1 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """The table as it is stored; one small file with one row group, which Spark cannot split, goes to all cores.
+
+    Tables of more files than cores, which is what grows, are never moved.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_FROM and df.rdd.getNumPartitions() * 2 <= cores:
+        return df.repartition(cores)
+    return df
