@@ -174,7 +174,7 @@ def _names(text: str, lexicon: Lexicon) -> list[Span]:
         f = ["name"] + ["name:given"] * known + ["name:family"] * family + ["name:initial"] * bool(initial) + ["name:hyphen"] * ("-" in last)
         f += ["name:honorific"] * bool(_HONORIFIC.search(before)) + ["name:cue_after"] * bool(_CUE_AFTER.match(after)) + ["name:cue_before"] * bool(_CUE_BEFORE.search(before)) + ["name:cue_strong"] * bool(_CLEAR_BEFORE.search(before) and not _HONORIFIC.search(before))
         nxt = re.match(r" ([A-Z][a-z]+)", after)
-        f += ["name:goes_on"] * bool(nxt and nxt.group(1) in _ROLES | _THINGS) + ["name:the"] * bool(re.search(r"\b(?:the|a|an|this|Project) $", before, re.I))
+        f += ["name:goes_on"] * bool(nxt and nxt.group(1) != "Project" and nxt.group(1) in _ROLES | _THINGS) + ["name:the"] * bool(re.search(r"\b(?:the|a|an|this|Project) $", before, re.I))
         out.append((m.start(), m.end(), "name", tuple(f)))
     if lexicon.given:
         for m in _NAME_BACK.finditer(text):

@@ -27,7 +27,7 @@ _TAG = re.compile(r"</?(?:html|head|body|title|div|span|p|h\d|br|noscript|center
 
 # The ways in which template engines and authors mark an open slot.
 _SLOT = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|%\([a-z_]{2,30}\)s|\$\{[^{}\n]{1,80}\}|\[\[[^\[\]\n]{1,80}\]\]|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|(?<![\w%])%[a-z_]{3,30}%(?!\w)|(?<![\w@])@@[a-z_]{2,30}@@"
+    r"\{\{[^{}\n]{0,80}\}\}|%\([^()\s]{1,30}\)s|\$\{[^{}\n]{1,80}\}|\[\[[^\[\]\n]{1,80}\]\]|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|(?<![\w%])%[a-z_]{3,30}%(?!\w)|(?<![\w@])@@[a-z_]{2,30}@@"
     r"|<(?:your|insert|enter|add|the|name of|fill)\b[^<>\n]{2,60}>|<[a-z]+(?:[ _-][a-z]+)* here>"
     r"|[\[【(（<](?:insert|your|enter|fill in|add|tbd|todo|to be (?:added|filled|determined|confirmed)|placeholder)\b[^\]】)）>\n]{0,60}[\]】)）>]"
     r"|[\[【(（<](?:請(?:在此)?(?:填|輸)|待補|待填|待定|此處填|填入|在此填|尚未填)[^\]】)）>\n]{0,40}[\]】)）>]"
@@ -174,7 +174,7 @@ def unit_kind(unit: str, model: Letters | None = None, may: dict[str, bool] | No
 def residue_kind(completion: str | None, model: Letters | None = None) -> str | None:
     """The kind of residue that the text is or holds; the strongest evidence first.
 
-    An item list ("Item 1, Item 2") counts only where it makes up the whole text.
+    Numbered items without content ("Item 1") count from three on, or where two make up the text.
     """
     text = bare(completion)
     if not text.strip():
@@ -185,7 +185,7 @@ def residue_kind(completion: str | None, model: Letters | None = None) -> str |
     if found == {"filler_text"} and may["item"]:
         items = sum(len(u) < 40 and bool(_ITEM.search(u)) for u in parts)
         others = sum(unit_kind(u, model, may | {"item": False}) == "filler_text" for u in parts)
-        if not others and items < max(2, 0.8 * len(parts)):
+        if not others and items < min(3, max(2, 0.8 * len(parts))):
             return None
     return next((kind for kind in ("placeholder", "script_notice", "error_page", "filler_text") if kind in found), None)
 
