@@ -90,13 +90,21 @@ def canonical_keys(df: DataFrame, id_col: str = "target_id", prompt: str = "prom
     return map_pandas(picked, kernel, "id long, canon binary")
 
 
-def copy_groups(keys: DataFrame, hot_rows: int = 5_000, salts: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(groups, hot keys) of durable (id, canon) rows.
+#: Most keys that can be hot at once, whatever the number of rows: what is broadcast stays below a megabyte.
+MOST_HOT = 10_000
 
-    groups: canon, kept_id (the smallest identifier), copies (rows with that key).
-    Keys with more than hot_rows rows are found exactly from partial counts. Their
-    number is at most rows / hot_rows, so they can be broadcast; their rows are
-    aggregated in two levels, first by (key, salt). All other keys take one shuffle.
+
+def hot_from(keys: DataFrame, hot_rows: int) -> int:
+    """Rows above which a key is hot: hot_rows, or so many that no more than MOST_HOT keys can reach it. keys is written, so that counting reads footers only."""
+    return max(hot_rows, keys.count() // MOST_HOT)
+
+
+def copy_groups(keys: DataFrame, hot_rows: int = 5_000, salts: int = 32) -> DataFrame:
+    """canon, kept_id (the smallest identifier) and copies (rows with that key) of durable (id, canon) rows.
+
+    Keys with more than hot_rows rows are found exactly from partial counts; they are
+    at most rows / hot_rows, and their rows are aggregated in two levels, first by
+    (key, salt). All other keys take one shuffle.
     """
     hot = keys.groupBy("canon").count().filter(F.col("count") > hot_rows).select("canon", F.lit(True).alias("hot"))
     marked = keys.join(F.broadcast(hot), "canon", "left")
@@ -104,7 +112,7 @@ def copy_groups(keys: DataFrame, hot_rows: int = 5_000, salts: int = 32) -> tupl
     rest = measure(marked.filter("hot is null").groupBy("canon"))
     level1 = measure(marked.filter("hot").groupBy("canon", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")))
     level2 = level1.groupBy("canon").agg(F.min("kept_id").alias("kept_id"), F.sum("copies").alias("copies"))
-    return rest.unionByName(level2), hot
+    return rest.unionByName(level2)
 
 
 def collapse_copies(df: DataFrame, id_col: str = "target_id", prompt: str = "prompt", completion: str = "completion", hot_rows: int = 5_000, salts: int = 32) -> DataFrame:
@@ -114,7 +122,7 @@ def collapse_copies(df: DataFrame, id_col: str = "target_id", prompt: str = "pro
     count as rows. An empty table gives an empty table; other columns are ignored.
     """
     keys = durable(canonical_keys(df, id_col, prompt, completion), "copies")
-    return copy_groups(keys, hot_rows, salts)[0].select("kept_id", "copies")
+    return copy_groups(keys, hot_from(keys, hot_rows), salts).select("kept_id", "copies")
 
 
 def find_copies(df: DataFrame, id_col: str = "target_id", prompt: str = "prompt", completion: str = "completion", hot_rows: int = 5_000, salts: int = 32) -> DataFrame:
@@ -124,8 +132,8 @@ def find_copies(df: DataFrame, id_col: str = "target_id", prompt: str = "prompt"
     group by broadcast, all others by one shuffle on the key.
     """
     keys = durable(canonical_keys(df, id_col, prompt, completion), "copies")
-    groups, hot = copy_groups(keys, hot_rows, salts)
-    groups = durable(groups.filter("copies > 1"), "groups")
+    hot_rows = hot_from(keys, hot_rows)
+    groups = durable(copy_groups(keys, hot_rows, salts).filter("copies > 1"), "groups")
     big = F.broadcast(groups.filter(F.col("copies") > hot_rows))
     small = groups.filter(F.col("copies") <= hot_rows)
     pairs = keys.join(big, "canon").unionByName(keys.join(small, "canon"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.session import durable
+from colloquy.session import durable, small
 
 #: Vocabulary of a public tokenizer: one base64 token and its rank per line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -54,7 +54,7 @@ def queue(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: s
     want = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
     counted = token_counts(documents.select("doc_id", "source", "text").filter("doc_id is not null"), "text", vocabulary)
     counted = counted.filter("tokens > 0").withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
-    counted = durable(counted.join(F.broadcast(want.select("source")), "source", "left_semi"), "tokens")
+    counted = durable(counted.join(small(want.select("source")), "source", "left_semi"), "tokens")
     # Repeated rows of one document count once, as one document may be used no more than max_repeats times.
     counted = counted.groupBy("doc_id", "source").agg(F.max("tokens").alias("tokens"), F.max("key").alias("key"))
     spread = durable(counted.repartitionByRange(F.col("source"), F.col("key"), F.col("doc_id")).sortWithinPartitions("source", "key", "doc_id").withColumn("part", F.spark_partition_id()), "spread")
@@ -85,7 +85,7 @@ def virtual_end(per_source: DataFrame, budget: int | None = None) -> float:
     share: the smallest total x repeats / share. A budget is met by stopping where the
     sources together reach it, those that run out giving all they have.
     """
-    rows = [(r["total"] * max(0, r["repeats"] or 0), r["share"] or 0.0) for r in per_source.limit(100_000).collect()]
+    rows = [(r["total"] * max(0, r["repeats"] or 0), r["share"] or 0.0) for r in per_source.toLocalIterator()]  # one row per source of the settings
     rows = [(n, w) for n, w in rows if n > 0 and w > 0]
     if not rows:
         return 0.0
@@ -100,7 +100,7 @@ def virtual_end(per_source: DataFrame, budget: int | None = None) -> float:
 
 
 def _picked(placed: DataFrame, per_source: DataFrame, end: float) -> DataFrame:
-    rows = placed.join(F.broadcast(per_source), "source").filter((F.col("share") > 0) & (F.col("repeats") > 0))
+    rows = placed.join(small(per_source), "source").filter((F.col("share") > 0) & (F.col("repeats") > 0))
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
     finish = (F.col("copy") * F.col("total") + F.col("before") + F.col("tokens")) / F.col("share")
     return copies.withColumn("finish", finish).filter(F.col("finish") <= F.lit(end) * (1 + 1e-12))

@@ -81,8 +81,8 @@ def split_oversized(items: DataFrame, limit: int, overlap: int, keys: list[str],
 
 
 def _limits(sizes: DataFrame) -> dict[str, tuple[int, int]]:
-    """size_limits is a table of settings, one row per kind of item; rows without a limit are left out."""
-    return {r["item_kind"]: (r["max_chars"], r["overlap_chars"] or 0) for r in sizes.select("item_kind", "max_chars", "overlap_chars").limit(1000).collect() if r["max_chars"] is not None}
+    """The limits of both kinds of item; if a kind has several rows, the smallest limit and the largest overlap."""
+    return {r["item_kind"]: (r["max_chars"], r["overlap_chars"] or 0) for r in sizes.filter("item_kind in ('meeting', 'utterance') and max_chars is not null").groupBy("item_kind").agg(F.min("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars")).collect()}
 
 
 def item_pieces(meetings: DataFrame, sizes: DataFrame) -> DataFrame:

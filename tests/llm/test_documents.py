@@ -93,7 +93,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(prose(rng, 60))) for i in range(5)]
     df = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(L, "BLOCK", 2)
+    monkeypatch.setattr(L, "BLOCK", 1_000)
     assert {tuple(r) for r in L.find_leaks(df, it).collect()} == {(i, i) for i in range(5)}
 
 
