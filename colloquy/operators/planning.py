@@ -63,3 +63,13 @@ def eval_cases(lang: Column | str = "lang") -> Column:
     none = F.lit(None).cast("string")
     cases = (("summarize", none), ("summarize", cross), ("actions", none), ("title", none), ("exec_summary", none), ("open_questions", none), ("notes", none), ("notes", cross))
     return F.array(*(F.struct(F.lit(t).alias("task"), c.alias("tgt")) for t, c in cases))
+
+
+def follow_ups(targets: DataFrame) -> DataFrame:
+    """(target_id, phase, text): second-stage prompts of summaries, "shrink" for those that are too long, "title" for all."""
+    from colloquy.functions.text import blank
+    from colloquy.operators.gates import too_long
+
+    done = targets.filter((F.col("task") == "summarize") & ~blank("completion"))
+    phases = F.filter(F.array(F.when(too_long("completion"), F.lit("shrink")), F.lit("title")), lambda p: p.isNotNull())
+    return done.select("target_id", F.explode(phases).alias("phase"), F.col("completion").alias("text"))

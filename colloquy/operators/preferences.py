@@ -22,8 +22,8 @@ def endpoint(key: list[str], of: int) -> Column:
 
 
 def max_tokens(tasks: DataFrame, caps: DataFrame, default: int = DEFAULT_TOKENS) -> DataFrame:
-    """tasks with max_tokens from caps (task, max_tokens), one row per task at most; default where it has none."""
-    return tasks.join(F.broadcast(caps.limit(10_000)), "task", "left").withColumn("max_tokens", F.coalesce("max_tokens", F.lit(default)))
+    """tasks with max_tokens from caps (task, max_tokens), one row per task at most; default where it has none. The settings are small enough for Spark to broadcast them by their size."""
+    return tasks.join(caps, "task", "left").withColumn("max_tokens", F.coalesce("max_tokens", F.lit(default)))
 
 
 def pairs(candidates: DataFrame, prompt: list[str], order: str = "k") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.clock import anchor_seconds, clock, clock_seconds
 from colloquy.functions.text import estimated_tokens, full_lines, has_han, has_hangul, has_kana, has_latin, judged, title_of, without_thinking
+from colloquy.functions.tokens import token_count
 from colloquy.operators import chunks, compact, curate, evaluation, gates, notes, planning, preferences, transcript, vectors, vocabulary
 from colloquy.sources.tables import table
 
@@ -540,6 +541,23 @@ def language_clauses(s, d):
     return table(s, d, "targets").select("target_id", clause.alias("clause"))
 
 
+@query(f"""WITH d AS (SELECT target_id, completion, (len({FULL("completion")}) > 12 OR length(completion) > 1200) AS long FROM targets WHERE task = 'summarize' AND {STRIP("coalesce(completion, '')")} <> '')
+    SELECT target_id, 'title' AS phase, completion AS text FROM d UNION ALL SELECT target_id, 'shrink', completion FROM d WHERE long""")
+def follow_up_prompts(s, d):
+    return planning.follow_ups(table(s, d, "targets"))
+
+
+@query()
+def exact_tokens(s, d):
+    return table(s, d, "documents").select("doc_id", token_count("text").alias("tokens"))
+
+
+@query("SELECT row_id, count(*) AS lines, CAST(sum(n) AS BIGINT) AS chars FROM (SELECT row_id, length(unnest(utterances).text) AS n FROM meetings) GROUP BY row_id")
+def utterance_sizes(s, d):
+    lines = transcript.utterance_lines(table(s, d, "meetings"))
+    return lines.groupBy("row_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in ALL.items()}
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "colloquy", cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -37,6 +38,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: dict[str, list[str]] = {}
+
+
 def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -45,5 +49,21 @@ def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what durable() has written in this application; call it when the results that rest on it are stored. How many were deleted."""
+    n = 0
+    jvm = spark.sparkContext._jvm
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
+def small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df, to be broadcast if it has been counted to hold no more than so many rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

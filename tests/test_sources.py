@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from colloquy.functions import tokens as K
+from colloquy.operators import agent as A
 from colloquy.operators import external as X
 from colloquy.operators import normalise as N
 from colloquy.operators import planning as P
@@ -62,6 +64,54 @@ def test_external_calls(spark, rows):
     assert rows(df, "x", "answer", "error") == [(1, "<1>", None), (2, None, "RuntimeError: down")]
 
 
+def test_agent_modes(spark, rows):
+    chunks = spark.createDataFrame([(1, 0, "alpha"), (1, 1, "beta"), (2, 0, "gamma")], "meeting int, chunk int, chunk_text string")
+
+    def make():
+        def client(row):
+            p = row["prompt"]
+            if p.startswith("ask"):
+                return "c1 and c7"
+            word = p.split()[-1]
+            return f"DECISIONS:\n- do {word} [0:0{len(word)}]\nTOPICS:\n- {word}" if p.startswith("map") else f"{p[4:]}"
+
+        return client
+
+    items = A.map_notes(chunks, "map {chunk}", make)
+    assert rows(items, "meeting", "chunk", "section", "text", "at_sec")[0] == (1, 0, "DECISIONS", "do alpha", 5)
+    both = A.reread_notes(items, chunks, "ask {items}", "map more {chunk}", make)
+    assert both.filter("reading = 1").select("meeting", "chunk").distinct().collect() == [(1, 1)]
+    merged = A.final_notes(both)
+    assert rows(merged.filter("section = 'TOPICS'"), "meeting", "text") == [(1, "alpha"), (1, "beta"), (2, "gamma")]
+    assert rows(A.over_cap(merged, {"TOPICS": 1})) == [(1, "TOPICS", "- alpha\n- beta")]
+    assert rows(A.running_notes(chunks, "run {state}{chunk};", make)) == [(1, 2, "alpha;beta;"), (2, 1, "gamma;")]
+
+
+def test_exact_tokens(spark):
+    import os
+
+    import pytest
+
+    if not os.path.exists(K.VOCABULARY):
+        pytest.skip("no vocabulary here")
+    df = spark.createDataFrame([("hello hello hello 王小明",), ("",), (None,)], "t string")
+    n = [r["n"] for r in df.select(K.token_count("t").alias("n")).collect()]
+    assert n[0] > 3 and n[1:] == [0, 0]
+    assert df.select(K.first_tokens("t", 2).alias("c")).first()["c"] == "hello hello"
+
+
+def test_follow_ups(spark, rows):
+    df = spark.createDataFrame([(1, "summarize", "x" * 1201), (2, "summarize", "y"), (3, "notes", "z"), (4, "summarize", " ")], "target_id int, task string, completion string")
+    assert rows(P.follow_ups(df), "target_id", "phase") == [(1, "shrink"), (1, "title"), (2, "title")]
+
+
+def test_durable_copies_can_be_released(spark):
+    from colloquy.session import durable, release
+
+    df = durable(spark.range(3), "t")
+    assert df.count() == 3 and release(spark) >= 1 and release(spark) == 0
+
+
 def test_resumable_stream(spark, tmp_path, rows):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     first = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, v string")
