@@ -64,3 +64,12 @@ def map_pandas(df: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], sc
                 yield out
 
     return df.mapInPandas(run, schema)
+
+
+def bounded(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """The batches in slices of whole rows with about so many characters each, so that a worker's memory does not depend on how long texts are; a text is never cut."""
+    for b in batches:
+        n = b[column].str.len().fillna(0).to_numpy()
+        part = (n.cumsum() - n) // chars
+        for k in pd.unique(part):
+            yield b[part == k]

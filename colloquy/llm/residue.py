@@ -228,6 +228,21 @@ _MASK = re.compile(r"\d+")
 _TERM = re.compile(r"[a-z]{4,}|[一-鿿]{2}")
 
 
+# Words of the detectors that hardly occur in talk about other things.
+_WEAK = (
+    ("script_notice", re.compile(r"java ?script|\bscripts?\b|\bcookies\b|指令碼|腳本")),
+    ("error_page", re.compile(r"\berrors?\b|\bhttp\b|\bgateway\b|\bdenied\b|\bpermission\b|\bexpired\b|\btimed? ?out\b|\bupstream\b|\bunavailable\b|\breload\w*|\bexception\b|\boverloaded\b|逾時|伺服器|錯誤|權限|存取|登入")),
+    ("filler_text", re.compile(r"\bplaceholder\b|\bdummy\b|\blorem\b|假文|內容待補")),
+)
+
+
+def weak_kind(text: str) -> str | None:
+    """The kind that a short text in sentences hints at, unless it reports about such things."""
+    if not re.search(r"[.!。！]", text) or _REPORT.search(text):
+        return None
+    return next((kind for kind, p in _WEAK if p.search(text)), None)
+
+
 def terms(text: str) -> set[str]:
     """Content terms of a text: words of four letters or more, pairs of Han characters."""
     out = {w for w in _TERM.findall(text) if w.isascii()}
@@ -264,9 +279,8 @@ def find_residue(df: DataFrame) -> DataFrame:
                 if not c or len(c) > SHORT:
                     continue
                 text = bare(c)
-                may = hints(text)
-                weak = next((k for k, h in (("script_notice", "script"), ("error_page", "error"), ("filler_text", "fill")) if may[h]), None)
-                if weak and not _REPORT.search(text):
+                weak = weak_kind(text)
+                if weak:
                     rows.append((i, None, weak, _MASK.sub("0", text.strip()), host, mismatch(p, text)))
             if rows:
                 yield pd.DataFrame(rows, columns=["i", "kind", "weak", "mask", "host", "off"])

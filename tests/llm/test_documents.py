@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import random
 
+import pandas as pd
 import pytest
 
 from colloquy.llm import leaks as L
 from colloquy.llm import mixture as M
 from colloquy.llm import pii as P
+from colloquy.llm.common import bounded
 
 WORDS = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "or", "il", "eth", "und", "asp", "ock", "iver", "omen", "ulst")]
 
@@ -88,6 +90,12 @@ def test_leaks_in_han_text(spark):
     assert {tuple(r) for r in L.find_leaks(df, it).collect()} == {(1, 7), (3, 7)}
 
 
+def test_slices_keep_all_rows():
+    b = pd.DataFrame({"text": ["a" * 5, None, "b" * 30, "", "c" * 4, "d" * 9], "k": range(6)})
+    got = list(bounded([b, b.iloc[:0]], chars=10))
+    assert [k for s in got for k in s["k"]] == list(range(6)) and len(got) == 2
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, " ".join(prose(rng, 60))) for i in range(5)]

@@ -6,6 +6,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from colloquy.llm import copies as C
 from colloquy.llm import defects as D
@@ -115,9 +116,11 @@ def test_meaningless_words_need_the_corpus(spark):
 
 
 def test_find_residue(spark, rows):
-    pages = [(200 + i, f"about hall {i}", f"upstream pool drained, ticket {i}", "en") for i in range(6)]
+    pages = [(200 + i, f"about hall {i}", f"Upstream pool drained, ticket {i}.", "en") for i in range(6)]
     t = targets(spark, (1, "p", "{{x}}"), (1, "p", "{{x}}"), (2, "p", None), (3, None, "Service Unavailable"), (None, "p", "{{x}}"), *pages)
     t = t.withColumn("meeting_id", t["target_id"].cast("string"))
+    titles = targets(spark, *((300 + i, "p", "戶外測試台與杉林專案") for i in range(9))).withColumn("meeting_id", F.col("target_id").cast("string"))
+    assert R.find_residue(titles).count() == 0
     assert set(rows(R.find_residue(t))) == {(1, "placeholder"), (3, "error_page"), *((200 + i, "error_page") for i in range(6))}
     assert rows(R.without_residue(t.filter("target_id < 100")), "target_id") == [(2,)]
     assert R.find_residue(t.limit(0)).count() == 0
