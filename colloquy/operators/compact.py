@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def cleaned(text: Column | str, lang: str = "en") -> Column:
     return F.btrim(F.regexp_replace(t, U + r"\s{2,}", " "), F.lit(" ,"))
 
 
-def merge_adjacent(lines: DataFrame, key: str, order: str, joiner: str = " ") -> DataFrame:
-    """(key, island, ts, speaker, text): neighbours of one speaker become one line with the first mark; lines without speaker stay alone.
+def merge_adjacent(lines: DataFrame, key: str, order: str, joiner: str = " ", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, island, ts, speaker, text, and keep, columns that are the same for a key): neighbours of one speaker become one line with the first mark; lines without speaker stay alone.
 
     lines has key, order, ts, speaker, text, and is filtered already: what was dropped between two lines parts them no more.
     """
@@ -38,30 +40,38 @@ def merge_adjacent(lines: DataFrame, key: str, order: str, joiner: str = " ") ->
     new = F.coalesce((F.col("speaker") != F.lag("speaker").over(w)).cast("int"), F.lit(1))
     lines = lines.withColumn("_new", new).withColumn("island", (F.sum("_new").over(w) - 1).cast("int"))
     got = F.array_sort(F.collect_list(F.struct(order, "text")))
-    merged = lines.groupBy(key, "island").agg(F.min_by("ts", order).alias("ts"), F.min_by("speaker", order).alias("speaker"), got.alias("_x"))
-    return merged.select(key, "island", "ts", "speaker", F.array_join(F.transform("_x", lambda x: x["text"]), joiner).alias("text"))
+    merged = lines.groupBy(key, "island").agg(F.min_by("ts", order).alias("ts"), F.min_by("speaker", order).alias("speaker"), got.alias("_x"), *(F.first(c).alias(c) for c in keep))
+    return merged.select(key, "island", "ts", "speaker", *keep, F.array_join(F.transform("_x", lambda x: x["text"]), joiner).alias("text"))
+
+
+def _by_language(chinese: Column, rule: Callable[[str], Column]) -> Column:
+    return F.when(chinese, rule("zh")).otherwise(rule("en"))
 
 
-def compact_lines(transcripts: DataFrame, key: str = "row_id", text: str = "transcript", lang: str = "en", merge: bool = True) -> DataFrame:
-    """(key, line_no, line) of transcripts in one language ("en" or "zh").
+def compact_lines(transcripts: DataFrame, key: str = "row_id", text: str = "transcript", lang: str | Column = "en", merge: bool = True) -> DataFrame:
+    """(key, line_no, line) of transcripts; lang is "en" or "zh" for all, or a column in which zh-TW stands for zh.
 
     Lines that only acknowledge, or say nothing once cleaned, are dropped; lines
     without a mark are kept as they are and end a run. Not idempotent.
     """
-    rows = transcripts.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", strip("line")).filter("line <> ''")
+    chinese = F.lit(lang == "zh") if isinstance(lang, str) else F.coalesce(lang == "zh-TW", F.lit(False))
+    rows = transcripts.select(key, chinese.alias("zh"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", strip("line")).filter("line <> ''")
     part = lambda i: F.regexp_extract("line", LINE, i)
-    rows = rows.select(key, "pos", "line", F.nullif(part(1), F.lit("")).alias("ts"), F.nullif(part(2), F.lit("")).alias("speaker"), part(3).alias("said"))
+    rows = rows.select(key, "zh", "pos", "line", F.nullif(part(1), F.lit("")).alias("ts"), F.nullif(part(2), F.lit("")).alias("speaker"), part(3).alias("said"))
     marked = F.col("ts").isNotNull()
-    rows = rows.filter(~marked | ~is_backchannel("said", lang))
-    rows = rows.withColumn("text", F.when(marked, cleaned("said", lang)).otherwise(F.col("line"))).filter("text <> ''")
+    rows = rows.filter(~marked | ~_by_language(F.col("zh"), lambda x: is_backchannel("said", x)))
+    rows = rows.withColumn("text", F.when(marked, _by_language(F.col("zh"), lambda x: cleaned("said", x))).otherwise(F.col("line"))).filter("text <> ''")
     if merge:
-        rows = merge_adjacent(rows, key, "pos", "" if lang == "zh" else " ").withColumnRenamed("island", "line_no")
+        # Han text is joined without a space: the mark of the joint is taken out again where zh.
+        joint = "\u001f"
+        rows = merge_adjacent(rows, key, "pos", joint, ("zh",)).withColumnRenamed("island", "line_no")
+        rows = rows.withColumn("text", F.when(F.col("zh"), F.replace("text", F.lit(joint), F.lit(""))).otherwise(F.replace("text", F.lit(joint), F.lit(" "))))
     else:
         rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1)
     head = F.concat(F.lit("["), F.col("ts"), F.lit("] "), F.coalesce(F.concat("speaker", F.lit(": ")), F.lit("")))
     return rows.select(key, "line_no", F.concat(F.coalesce(head, F.lit("")), F.col("text")).alias("line"))
 
 
-def compact(transcripts: DataFrame, key: str = "row_id", text: str = "transcript", lang: str = "en", merge: bool = True) -> DataFrame:
+def compact(transcripts: DataFrame, key: str = "row_id", text: str = "transcript", lang: str | Column = "en", merge: bool = True) -> DataFrame:
     """(key, transcript)."""
     return joined(compact_lines(transcripts, key, text, lang, merge), key, "line_no", "line", "transcript")

@@ -109,7 +109,7 @@ def compacted_transcripts(s, d):
     text = transcript.render_transcripts(table(s, d, "meetings"))
     lang = table(s, d, "meetings").select("row_id", "lang")
     text = text.join(lang, "row_id")
-    return compact.compact(text.filter("lang = 'en'")).unionByName(compact.compact(text.filter("lang = 'zh-TW'"), lang="zh"))
+    return compact.compact(text, lang=F.col("lang"))
 
 
 @query("""WITH n AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 3500 THEN 1 ELSE CAST(ceil((length(text) - 300) / 3200.0) AS INT) END)) AS chunk FROM documents WHERE text IS NOT NULL)
