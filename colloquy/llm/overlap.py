@@ -5,7 +5,7 @@ class representatives are compared. The passages of the evaluation classes are
 sharded by what training text can possibly hold them: content-chosen anchors
 (minima of hashed token runs over a sliding window) are equal wherever the text
 is, and a training text is scanned by the automata of exactly those evaluation
-records with which it shares enough of their rarest anchors. Each evaluation
+records with which it shares enough anchors, all of them counted. Each evaluation
 record's passages make one Aho-Corasick automaton; matched passages are chained
 in order, merged into intervals, and measured as coverage of both texts.
 """
@@ -33,8 +33,8 @@ RUN, WINDOW = {False: 8, True: 14}, {False: 10, True: 12}
 PASSAGE = {False: 5, True: 8}
 #: Least coverage of both texts for the same meeting: about two thirds less what edits of single words take from whole passages.
 COVERAGE = 0.44
-#: Share of a record's anchors, rarest first, that are joined: with more than 1 - RARE of them in common, one of these is.
-RARE = 0.7
+#: Least share of a record's anchors, counted over all of them, that a text must hold to be scanned; two at least where there are more than two.
+SHARED = 0.03
 
 SPLIT_NAMES = {"train": "train", "val": "val", "dev": "val", "validation": "val", "valid": "val", "test": "test"}
 
@@ -174,19 +174,17 @@ def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def overlapping_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(e, t, of_record, of_text) for class pairs of an evaluation and a training class; classes: cls, in_eval, in_train, anchors; texts: cls, words.
+    """(e, t, of_record, of_text) for class pairs of an evaluation and a training class; classes: cls, in_eval, in_train, anchors, size; texts: cls, words.
 
     Texts are fetched for candidates only; of all others only anchors move.
     """
-    held = classes.filter("in_eval").select(F.col("cls").alias("e"), F.explode("anchors").alias("a"))
-    stock = classes.filter("in_train").select(F.col("cls").alias("t"), F.explode("anchors").alias("a"))
-    often = stock.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    # Rarest anchors of each record; how often an anchor stands in the training text decides, unknown ones come first.
-    ranked = held.join(often, "a", "left").groupBy("e").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "a"))).alias("x"))
-    ranked = ranked.select("e", F.size("x").alias("m"), F.explode(F.slice("x", 1, F.least(F.size("x"), F.ceil(F.size("x") * RARE) + 1).cast("int"))).alias("x"))
-    picked = ranked.filter("x.n > 0").select("e", "m", F.col("x.a").alias("a"))
-    pairs = picked.join(stock, "a").groupBy("e", "t").agg(F.count(F.lit(1)).alias("shared"), F.first("m").alias("m"))
-    pairs = pairs.filter((F.col("e") != F.col("t")) & (F.col("shared") >= F.greatest(F.lit(1), F.least(F.lit(2), F.col("m") - 1), F.ceil(F.col("m") * 0.1))))
+    m = F.size("anchors")
+    least = F.greatest(F.lit(1), F.least(F.lit(2), m - 1), F.ceil(m * SHARED).cast("int"))
+    held = classes.filter("in_eval").select(F.col("cls").alias("e"), F.col("size").alias("own"), least.alias("least"), F.explode("anchors").alias("a"))
+    stock = classes.filter("in_train").select(F.col("cls").alias("t"), "size", F.explode("anchors").alias("a"))
+    # Exact necessary condition for COVERAGE of the text: a record has no more matched tokens than its passages hold.
+    fits = F.col("size") * COVERAGE <= F.col("own") + max(PASSAGE.values())
+    pairs = held.join(stock, "a").filter((F.col("e") != F.col("t")) & fits).groupBy("e", "t", "least").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= least")
     pairs = durable(pairs.select("e", "t"), "pairs")
     needed = pairs.select(F.col("e").alias("cls")).union(pairs.select("t")).distinct()
     fetched = durable(texts.join(needed, "cls").dropDuplicates(["cls"]), "texts")
@@ -195,7 +193,7 @@ def overlapping_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def normalised(meetings: DataFrame) -> DataFrame:
-    """(row_id, split, source, cls, words, anchors), one row per stored row with row_id and a known split; meetings without words are left out."""
+    """(row_id, split, source, cls, words, size, anchors), one row per stored row with row_id and a known split; meetings without words are left out."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: dict[str, int] = {}
@@ -205,14 +203,14 @@ def normalised(meetings: DataFrame) -> DataFrame:
                 words = tokens(list(texts) if texts is not None else [])
                 if words:
                     joined = " ".join(words)
-                    out.append((row, split, source, blake2b(joined.encode(), digest_size=16).digest(), joined, anchors(words, ids)))
+                    out.append((row, split, source, blake2b(joined.encode(), digest_size=16).digest(), joined, len(words), anchors(words, ids)))
             if len(ids) > 2_000_000:
                 ids.clear()
             if out:
-                yield pd.DataFrame(out, columns=["row_id", "split", "source", "cls", "words", "anchors"])
+                yield pd.DataFrame(out, columns=["row_id", "split", "source", "cls", "words", "size", "anchors"])
 
     rows = meetings.select(F.col("row_id").cast("long"), split_name().alias("split"), "source", F.transform("utterances", lambda u: u["text"]).alias("texts"))
-    return rows.filter("row_id is not null and split is not null").mapInPandas(kernel, "row_id long, split string, source string, cls binary, words string, anchors array<long>")
+    return rows.filter("row_id is not null and split is not null").mapInPandas(kernel, "row_id long, split string, source string, cls binary, words string, size int, anchors array<long>")
 
 
 def find_overlaps(meetings: DataFrame) -> DataFrame:
@@ -226,9 +224,9 @@ def find_overlaps(meetings: DataFrame) -> DataFrame:
     narrow = rows.select("row_id", "split", "source", "cls")
     sides = narrow.groupBy("cls").agg(F.min("row_id").alias("c"), F.max((F.col("split") != "train").cast("int")).alias("e"), F.max((F.col("split") == "train").cast("int")).alias("t"))
     sides = durable(sides, "sides")  # from here on a class is called by its smallest row, a number
-    first = rows.select(F.col("row_id").alias("c"), F.col("cls").alias("own"), "anchors")
+    first = rows.select(F.col("row_id").alias("c"), F.col("cls").alias("own"), "size", "anchors")
     classes = sides.join(first, "c").filter(F.col("cls") == F.col("own")).dropDuplicates(["c"])
-    classes = durable(classes.select(F.col("c").alias("cls"), (F.col("e") == 1).alias("in_eval"), (F.col("t") == 1).alias("in_train"), "anchors"), "classes")
+    classes = durable(classes.select(F.col("c").alias("cls"), (F.col("e") == 1).alias("in_eval"), (F.col("t") == 1).alias("in_train"), "size", "anchors"), "classes")
     texts = rows.select(F.col("row_id").alias("cls"), "words")
     near = overlapping_classes(classes, texts).withColumn("coverage", F.least("of_record", "of_text")).filter(F.col("coverage") >= COVERAGE).select("e", "t", "coverage")
     same = sides.filter("e = 1 and t = 1").select(F.col("c").alias("e"), F.col("c").alias("t"), F.lit(1.0).alias("coverage"))

@@ -135,6 +135,17 @@ def test_overlaps(spark, rows):
     assert O.find_overlaps(m.limit(0)).count() == 0
 
 
+def test_overlaps_with_scattered_changes(spark, rows):
+    """Every eleventh word changed: under half of the runs of 8 words stay, so most anchors stand in no train text."""
+    say = lambda words: [("s", " ".join(words[i : i + 12]) + ".") for i in range(0, len(words), 12)]
+    data, want = [], []
+    for i in range(8):
+        words = " ".join(talk(20 + i)).replace(".", "").split()
+        data += [(2 * i, "test", say(words)), (2 * i + 1, "train", say([w if k % 11 else f"x{k}" for k, w in enumerate(words)]))]
+        want.append((2 * i, 2 * i + 1))
+    assert rows(O.find_overlaps(meetings(spark, *data)), "row_id_a", "row_id_b") == sorted(want, key=str)
+
+
 def test_coverage_in_order():
     words = [f"a{i}" for i in range(50)]
     auto, n = O.passages(words, 5)
