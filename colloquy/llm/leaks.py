@@ -44,6 +44,11 @@ def tokenise(text: str) -> list[str]:
     return _TOKEN.findall(_LINE.sub(" ", text.lower()))
 
 
+def han_tokens(words: list[str]) -> np.ndarray:
+    """Whether each token is a Han character."""
+    return np.fromiter(("一" <= w <= "鿿" for w in words), dtype=bool, count=len(words))
+
+
 class Vocabulary:
     """Stable 64-bit codes of tokens, the same in every process."""
 
@@ -110,6 +115,10 @@ class Index:
             owner.append(np.full(count, n, dtype=np.int32))
             offset.append(np.arange(count, dtype=np.int32))
             base += len(words)
+        # Tokens of its own script that a document's window with a shift of two on both sides holds at least where candidates() may keep it: four, or six and four for shifts, less than any window here.
+        own = np.concatenate([[0], *(han_tokens(w) == han for w in self.words)]).cumsum()
+        here = np.concatenate(starts) if starts else np.empty(0, dtype=np.int64)
+        self.least = int((own[here + self.window] - own[here]).min(initial=self.window)) - (10 if han else 4)
         self.ends = np.cumsum([len(w) for w in self.words])
         self.codes = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
         self.starts = np.concatenate(starts) if starts else np.empty(0, dtype=np.int64)
@@ -130,6 +139,13 @@ class Index:
     def codes_of(self, n: int) -> np.ndarray:
         return self.codes[self.ends[n] - len(self.words[n]) : self.ends[n]]
 
+    def possible(self, script: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Those of the starts whose windows hold enough tokens of this index's script. script: whether each token is a Han character."""
+        if self.least <= 0:
+            return starts
+        own = np.concatenate([[0], script == self.han]).cumsum()
+        return starts[own[np.minimum(starts + self.window + 2, len(script))] - own[np.maximum(starts - 2, 0)] >= self.least]
+
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among starts, place among own windows) of all collisions whose windows agree in most tokens at equal places or one further."""
         found = []
@@ -229,11 +245,11 @@ def probe(batches: Iterator[pd.DataFrame], indexes: dict[bool, Index]) -> Iterat
         base = np.concatenate([[0], np.cumsum(sizes)])
         codes = vocabulary.codes([w for ws in words for w in ws])
         out = set()
-        han_share = np.array([sum(bool(HAN.match(w)) for w in ws[:: max(1, len(ws) // 40)]) / max(1, len(ws[:: max(1, len(ws) // 40)])) for ws in words])
+        script = han_tokens([w for ws in words for w in ws])
         for han, index in indexes.items():
-            docs = np.flatnonzero((sizes >= index.window) & ((han_share > 0.05) if han else (han_share < 0.95)))
+            docs = np.flatnonzero(sizes >= index.window)
             starts = [base[d] + np.append(np.arange(0, sizes[d] - index.window, index.stride), sizes[d] - index.window) for d in docs]
-            starts = np.concatenate(starts) if starts else np.empty(0, dtype=np.int64)
+            starts = index.possible(script, np.concatenate(starts) if starts else np.empty(0, dtype=np.int64))
             place, own = index.candidates(codes, starts)
             tried: dict[tuple[int, int], list[int]] = {}
             for s, o in zip(starts[place], own):

@@ -90,6 +90,17 @@ def test_leaks_in_han_text(spark):
     assert {tuple(r) for r in L.find_leaks(df, it).collect()} == {(1, 7), (3, 7)}
 
 
+def test_leaks_in_long_documents_of_the_other_script(spark):
+    rng = random.Random(8)
+    han = "會議同意在七月三日前重漆東側大廳並請秘書組長回報費用與進度另外由檔案專員整理郊區樣本庫的清單後再行公布結果"
+    latin = prose(rng, 60)
+    other = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(6000))
+    long = prose(rng, 3000)
+    docs = [(1, " ".join([*long[:1500], han[:40], *long[1500:]])), (2, other[:2500] + " " + " ".join(latin[10:38]) + " " + other[2500:]), (3, " ".join(long)), (4, other)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, han), (8, " ".join(latin))], "item_id long, text string")
+    assert {tuple(r) for r in L.find_leaks(df, it).collect()} == {(1, 7), (2, 8)}
+
+
 def test_slices_keep_all_rows():
     b = pd.DataFrame({"text": ["a" * 5, None, "b" * 30, "", "c" * 4, "d" * 9], "k": range(6)})
     got = list(bounded([b, b.iloc[:0]], chars=10))
