@@ -83,7 +83,8 @@ _CUE_ID_AFTER = re.compile(r"^\s*(?:as the (?:social|id|passport)|was read out|
 _CUE_NUMBER = re.compile(r"(?:\b(?:serial|invoice|docket|section|ordinance|version|item|order|part|model|lot|case|ticket|page|room|batch|isbn|account ref|ref|code)\b|序號|發票|案號|條例|版本|第)[^.。!?]{0,12}$", re.I)
 _SURNAMES = "王李張劉陳楊黃趙吳周徐孫馬朱胡郭何高林羅鄭梁謝宋唐許韓馮鄧曹彭曾蕭田董袁潘于蔣蔡余杜葉程蘇魏呂丁任沈姚盧姜崔鍾譚陸汪范金石廖賈夏韋傅方白鄒孟熊秦邱江尹薛閻段雷侯龍史陶黎賀顧毛郝龔邵萬錢嚴覃武戴莫孔向湯溫康施文牛樊葛邢安齊易喬伍龐顏倪莊聶章魯岳翟殷詹申歐耿關蘭焦俞左柳甘祝包寧尚符舒阮柯紀梅童凌畢單季裴霍涂成苗谷盛曲翁冉駱藍路游辛靳管柴蒙鮑華喻祁蒲房滕屈饒解牟艾尤陽時穆農司卓古吉繆簡車項連蘆麥褚婁竇戚岑景黨宮費卜冷晏席衛米柏宗瞿桂全佟應臧閔苟鄔邊卞姬師和仇欒隋商刁沙榮巫寇桑郎甄叢仲虞敖鞏明佘池查麻苑遲鄺官封談匡鞠惠荊樂冀郁胥南班儲原栗燕楚鄢勞諶奚皮粟冼藺樓盤滿聞位厲伊仝區郜海闞花權強帥屠豆朴蓋練廉禹井祖漆巴豐支卿國狄平計索宣晉相初門雲容敬來扈晁芮都普闕浦戈伏鹿薄邸雍辜羊阿烏母裘亓修邰赫杭況那宿鮮印逯隆茹諾戰慕危玉銀亢嵇公哈湛賓戎勾茅利於呼居揭干但尉冶斯元束檀衣信展陰昝智幸奉植衡富尧閩由"
 # Only those of the surnames that seldom begin a word of another kind count without a sign after the name.
-_NAME_HAN = re.compile(rf"(?<![一-鿿])([{_SURNAMES}][一-鿿]{{1,2}})(?=[:：])|([{_SURNAMES}][一-鿿]{{2}})")
+# A match is empty and its span is the group: candidates may overlap, decode() chooses.
+_NAME_HAN = re.compile(rf"(?=(?<![一-鿿])([{_SURNAMES}][一-鿿]{{1,2}})(?=[:：])|([{_SURNAMES}][一-鿿]{{2}}))")
 _HAN_AFTER = re.compile(r"(?:先生|女士|小姐|老師|博士|教授|經理|醫師|律師|議員|說|問|答|表示|認為|進來|離開|補充|發言|提到|同意|反對|寫|念|唸|，|。|、|$|\n|[:：])")
 _HAN_BEFORE = re.compile(r"(?:名字是|名叫|我叫|發言的是|紀錄[:：]|記錄[:：]|主席[:：]|出席[:：]|來賓[:：]|列席[:：]|聯絡人[:：]?|請|等到|感謝|謝謝|根據|依據|據|由|和|跟|與|找|雇用了?|聘請了?|聘了|問|是|在|對|^|\n|[。，、：:\]\)] ?)$")
 _HAN_STRONG = re.compile(r"(?:名字是|名叫|我叫|發言的是|紀錄[:：]|記錄[:：]|來賓[:：]|等到)$")
@@ -189,11 +190,12 @@ def _names(text: str, lexicon: Lexicon) -> list[Span]:
     if not text.isascii():
         for m in _NAME_HAN.finditer(text):
             x = m.group(1) or m.group(2)
-            before, after = text[max(0, m.start() - 5) : m.start()], text[m.end() : m.end() + 3]
+            end = m.start() + len(x)
+            before, after = text[max(0, m.start() - 5) : m.start()], text[end : end + 3]
             chars = sum(lexicon.chars.get(ch, 0) >= KNOWN for ch in x[1:])
             f = ["name:han"] + ["name:han_chars"] * (chars == len(x) - 1) + ["name:han_label"] * bool(m.group(1)) + ["name:han_two"] * (len(x) == 2)
             f += ["name:han_title"] * bool(_HAN_TITLE.match(after)) + ["name:han_after"] * bool(_HAN_AFTER.match(after)) + ["name:han_before"] * bool(_HAN_BEFORE.search(before)) + ["name:han_strong"] * bool(_HAN_STRONG.search(before))
-            out.append((m.start(), m.end(), "name", tuple(f)))
+            out.append((m.start(), end, "name", tuple(f)))
     return out
 
 

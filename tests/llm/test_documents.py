@@ -188,6 +188,13 @@ def test_held_out_sentences():
     assert not wrong
 
 
+@pytest.mark.parametrize("before", ["感謝", "謝謝", "和", "向", "對方", "請"])
+def test_names_after_a_character_that_is_a_surname_too(before):
+    text = f"{before}沈書瑜。"
+    assert [(s, e) for s, e, kind, _ in P.candidates(text, LEX) if kind == "name" and text[s:e] == "沈書瑜"] == [(len(before), len(before) + 3)]
+    assert [text[s:e] for s, e, *_ in P.entities(text, LEX)] == ["沈書瑜"]
+
+
 def test_fit_keeps_the_training_sentences():
     weights = P.fitted()
     lex = P.Lexicon({"Iris": 9, "Tomas": 9, "Anna": 9}, {"Calder": 9, "Okafor": 9}, {"書": 9, "瑜": 9})
