@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.session import durable
+
 TYPES = ("email", "phone", "id_number", "street_address", "name")
 #: Characters in the longest entity.
 LONGEST = 120
-#: Most entries of a counted lexicon that are sent to the workers, most frequent first.
+#: Most names of a counted lexicon that are sent to the workers; a larger one is joined with the words of the texts.
 LEXICON = 100_000
 
 # Forms of addresses, numbers and names.
@@ -347,14 +349,66 @@ def _clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(k, w, n) for (k, w), n in seen.items()], columns=["kind", "word", "n"])
 
 
-def learn_lexicon(documents: DataFrame, text: str = "text") -> Lexicon:
-    """Counted over all documents; the LEXICON most frequent words of each kind come to the driver."""
+def learn_lexicon(documents: DataFrame, text: str = "text") -> tuple[Lexicon, DataFrame | None]:
+    """Counted over all documents: what the driver holds, and (kind, word) of all known names where they are more than LEXICON.
+
+    Characters of Han names always come to the driver: there are 20,992 at most.
+    """
     counts = documents.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(_clear, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= KNOWN)
+    counts = durable(counts, "lexicon")
+    names = counts.filter("kind <> 'chars'")
+    many = names.limit(LEXICON + 1).count() > LEXICON
     found: dict[str, dict[str, int]] = {"given": {}, "family": {}, "chars": {}}
-    for r in counts.orderBy(F.desc("n"), "word").limit(3 * LEXICON).collect():
-        if len(found[r["kind"]]) < LEXICON:
-            found[r["kind"]][r["word"]] = r["n"]
-    return Lexicon(**found)
+    for r in (counts.filter("kind = 'chars'") if many else counts).toLocalIterator():
+        found[r["kind"]][r["word"]] = r["n"]
+    return Lexicon(**found), names.select("kind", "word") if many else None
+
+
+class _Asked(dict):
+    """Says that it knows every word, and keeps those it was asked for."""
+
+    def __init__(self) -> None:
+        self.words: set[str] = set()
+
+    def __bool__(self) -> bool:
+        return True
+
+    def __contains__(self, word: object) -> bool:
+        self.words.add(str(word))
+        return False
+
+    def get(self, word: str, default: int = 0) -> int:
+        self.words.add(word)
+        return KNOWN
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, kind, word) of all words of the batches (key, text) that candidates() looks up."""
+    for b in batches:
+        out = []
+        for key, text in zip(b["key"], b["text"]):
+            given, family = _Asked(), _Asked()
+            _names(text, Lexicon(given, family))
+            out += [(key, kind, w) for kind, asked in (("given", given), ("family", family)) for w in asked.words]
+        if out:
+            yield pd.DataFrame(out, columns=["key", "kind", "word"])
+
+
+def with_names(documents: DataFrame, names: DataFrame | None) -> DataFrame:
+    """documents with given and family, the known names among the words of their texts, by joins on the word; both null where the driver's lexicon holds all."""
+    if names is None:
+        return documents.withColumns({c: F.lit(None).cast("array<string>") for c in ("given", "family")})
+    keyed = documents.withColumn("key", F.md5("text"))
+    asked = keyed.filter("text is not null").select("key", "text").mapInPandas(_asked, "key string, kind string, word string").distinct()
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("word"))).alias(kind)
+    known = asked.join(names, ["kind", "word"]).groupBy("key").agg(of("given"), of("family"))
+    return keyed.join(known, "key", "left").drop("key")
+
+
+def lexicons(b: pd.DataFrame, whole: Lexicon) -> Iterator[Lexicon]:
+    """The lexicon for each row of with_names()."""
+    for given, family in zip(b["given"], b["family"]):
+        yield whole if given is None else Lexicon(dict.fromkeys(given, KNOWN), dict.fromkeys(family, KNOWN), whole.chars)
 
 
 # ---------------------------------------------------------------- operators
@@ -366,27 +420,29 @@ def find_pii(documents: DataFrame) -> DataFrame:
     Null and empty texts have none; rows without doc_id are left out; a document that
     is stored twice under one id gives its rows once. Texts are read whole.
     """
-    lexicon = documents.sparkSession.sparkContext.broadcast(learn_lexicon(documents))
+    whole, names = learn_lexicon(documents)
+    lexicon = documents.sparkSession.sparkContext.broadcast(whole)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = fitted()
         for b in batches:
-            rows = [(i, kind, start + 1) for i, t in zip(b["doc_id"], b["text"]) for start, _, kind, _ in entities(t, lexicon.value, weights)]
+            rows = [(i, kind, start + 1) for i, t, lex in zip(b["doc_id"], b["text"], lexicons(b, lexicon.value)) for start, _, kind, _ in entities(t, lex, weights)]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start_pos"])
 
     rows = documents.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
-    return rows.mapInPandas(kernel, "doc_id long, pii_type string, start_pos int").distinct()
+    return with_names(rows, names).mapInPandas(kernel, "doc_id long, pii_type string, start_pos int").distinct()
 
 
 def mask_pii(documents: DataFrame) -> DataFrame:
     """(doc_id, entities, text): every row, its text with entities replaced by [TYPE]; null texts stay null."""
-    lexicon = documents.sparkSession.sparkContext.broadcast(learn_lexicon(documents))
+    whole, names = learn_lexicon(documents)
+    lexicon = documents.sparkSession.sparkContext.broadcast(whole)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = fitted()
         for b in batches:
-            found = [entities(t, lexicon.value, weights) for t in b["text"]]
+            found = [entities(t, lex, weights) for t, lex in zip(b["text"], lexicons(b, lexicon.value))]
             yield pd.DataFrame({"doc_id": b["doc_id"], "entities": [len(x) for x in found], "text": [masked(t, x) for t, x in zip(b["text"], found)]})
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(kernel, "doc_id long, entities int, text string")
+    return with_names(documents.select(F.col("doc_id").cast("long"), "text"), names).mapInPandas(kernel, "doc_id long, entities int, text string")

@@ -218,3 +218,13 @@ def test_find_and_mask(spark, rows):
     m = {r["doc_id"]: r["text"] for r in P.mask_pii(df).collect()}
     assert m[1] == "Minutes taken by [NAME].\nCall [PHONE] now." and m[9] is None and m[8] == "" and m[7].endswith("[EMAIL]")
     assert P.find_pii(df.limit(0)).count() == 0
+
+
+def test_lexicon_larger_than_the_driver_takes(spark, rows, monkeypatch):
+    """Rare names are known as well; the same rows come out as with all names on the driver."""
+    people = [f"{a}{b} {c}{d}" for a, b, c, d in zip(("Mira", "Tess", "Joan", "Orla"), ("la", "na", "ra", "sa"), ("Hal", "Qui", "Vos", "Cal"), ("vor", "sten", "ker", "der"))]
+    said = [(10 * k + i, f"Minutes taken by {p}.\n{p.split()[1]}, {p.split()[0]}\nWe met {p.upper()} there.") for k, p in enumerate(people) for i in range(3 + k)]
+    df = spark.createDataFrame([*said, (0, said[0][1]), (98, None), (99, "")], "doc_id long, text string")
+    whole, masks = rows(P.find_pii(df)), rows(P.mask_pii(df))
+    monkeypatch.setattr(P, "LEXICON", 1)
+    assert len(whole) == 3 * len(said) and rows(P.find_pii(df)) == whole and rows(P.mask_pii(df)) == masks
