@@ -557,6 +557,60 @@ def utterance_sizes(s, d):
     lines = transcript.utterance_lines(table(s, d, "meetings"))
     return lines.groupBy("row_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
 
+# The queries above whose SQL leaves rows out on which RE2 and DuckDB read white space or divide otherwise, over the whole tables; so without SQL.
+
+
+def _whole_targets(s, d):
+    return table(s, d, "targets")
+
+
+@query()
+def backchannel_lines_whole(s, d):
+    lines = transcript.utterance_lines(table(s, d, "meetings"))
+    chinese = F.coalesce(F.col("lang") == "zh-TW", F.lit(False))
+    return lines.filter(F.when(chinese, compact.is_backchannel("text", "zh")).otherwise(compact.is_backchannel("text"))).select("row_id", "pos")
+
+
+@query()
+def map_budgets_whole(s, d):
+    return _whole_targets(s, d).select("target_id", chunks.map_budget(F.length("completion")).alias("budget"))
+
+
+@query()
+def preamble_gate_whole(s, d):
+    return _whole_targets(s, d).select("target_id", gates.has_preamble("completion").alias("preamble"))
+
+
+@query()
+def plain_bullets_whole(s, d):
+    return _whole_targets(s, d).select("target_id", gates.plain_bullets("completion").alias("plain"))
+
+
+@query()
+def keep_gate_whole(s, d):
+    return _whole_targets(s, d).select("target_id", gates.keep().alias("keep"))
+
+
+@query()
+def format_gate_whole(s, d):
+    return _whole_targets(s, d).select("target_id", gates.format_ok("task", "completion", gates.effective_lang()).alias("fmt_ok"))
+
+
+@query()
+def dedup_keep_first_whole(s, d):
+    return curate.keep_first(_whole_targets(s, d), ["target_id"]).select("target_id")
+
+
+@query()
+def curate_outcomes_whole(s, d):
+    return curate.outcome_counts(_whole_targets(s, d), ["target_id"])
+
+
+@query()
+def training_rows_whole(s, d):
+    rows = curate.training_rows(_whole_targets(s, d), ["target_id"])
+    return rows.select(F.col("messages")[1]["content"].alias("user"), F.col("messages")[2]["content"].alias("assistant"), "task", "phase", "source", "lang", "meeting_id", "split")
+
 
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in ALL.items()}

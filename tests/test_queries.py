@@ -47,3 +47,11 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_queries_judge_every_target(spark):
+    """Completions that are null or hold wide white space are judged too."""
+    q, n = core.queries(), spark.read.parquet(f"{FOLDER}/targets.parquet").count()
+    for name in ("map_budgets_whole", "preamble_gate_whole", "plain_bullets_whole", "keep_gate_whole", "format_gate_whole"):
+        assert q[name](spark, FOLDER).count() == n, name
+    assert q["curate_outcomes_whole"](spark, FOLDER).groupBy().sum("n").first()[0] == n
