@@ -463,7 +463,7 @@ def rendered_notes(s, d):
 @query()
 def evidence_lines(s, d):
     lines = transcript.render_lines(table(s, d, "meetings")).select(F.col("row_id").alias("meeting"), "line_no", "start_sec", "line")
-    anchors = lines.filter("line_no % 5 = 0").select("meeting", (F.col("start_sec") + 3).alias("at_sec"))
+    anchors = lines.select("meeting", (F.col("start_sec") + 3).alias("at_sec"))
     return notes.evidence(anchors, lines)
 
 

@@ -55,3 +55,9 @@ def test_whole_queries_judge_every_target(spark):
     for name in ("map_budgets_whole", "preamble_gate_whole", "plain_bullets_whole", "keep_gate_whole", "format_gate_whole"):
         assert q[name](spark, FOLDER).count() == n, name
     assert q["curate_outcomes_whole"](spark, FOLDER).groupBy().sum("n").first()[0] == n
+
+
+def test_evidence_of_every_line(spark, monkeypatch):
+    monkeypatch.setattr(core.notes, "evidence", lambda items, lines: items)
+    q = core.queries()
+    assert q["evidence_lines"](spark, FOLDER).count() == q["transcript_lines"](spark, FOLDER).count()
