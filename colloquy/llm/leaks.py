@@ -4,10 +4,12 @@ Windows of item size are embedded by CGK random walks: a token is emitted at
 every step and the walk moves on or stays by a random bit of (step, token), so
 that windows within a small edit distance become sequences within a small Hamming
 distance. Each repetition samples some steps of its own walk as a hash key.
-Items, a small table, give the index at every offset; documents are probed at a
-stride that puts a whole window inside every stretch that counts. Candidates are
-verified exactly: the item is aligned with the document around the hit, and runs
-that only single changed words part are joined.
+Items give keys at every offset; documents are probed at a stride that puts a
+whole window inside every stretch that counts. Items of bounded size travel as an
+index and documents are scanned in place; more items than that meet the documents
+in a join on the keys, hot keys salted. Candidates are verified exactly either
+way: item and document are aligned within a band around the hit, and runs that
+only single changed, added or dropped words part are joined.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -23,14 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import HAN, bounded
+from colloquy.session import durable, small
 
 #: Least stretch: words, or characters where the item is in Han script.
 LEAST_WORDS, LEAST_CHARS = 25, 35
 #: Tokens in a window, stride over documents (window + stride - 1 <= least stretch), steps of the walk.
 WINDOW = {False: (17, 9), True: (22, 12)}
-STEPS, REPS, SAMPLED = 30, 10, 6
-#: Characters of items in one broadcast index (some 40 MB); more are handled in blocks, each with its own scan.
+STEPS, REPS, SAMPLED = 30, 12, 5
+#: Characters of items that travel as one broadcast index (some 50 MB); more are joined on their keys.
 BLOCK = 1_500_000
+#: Rows from which a key is hot in that join, most hot keys, and parts that the rows of one are spread over.
+HOT, MOST_HOT, SALTS = 10_000, 10_000, 32
 
 _LINE = re.compile(
     r"(?m)^[ \t]*(?:[-*•·–#>]+[ \t]+|\d{1,2}[.)][ \t]+)?(?:[\[(<〔【]?\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?:[ \t]*-->[ \t]*[\d:.,]+)?[\])>〕】]?[ \t]*)?"
@@ -98,6 +102,24 @@ def embed(codes: np.ndarray, starts: np.ndarray, window: int, rep: int) -> np.nd
     return key
 
 
+#: What a candidate window may lose of its full score in alike(): 1 for a changed token, 2 for one dropped, 1 for one added.
+LOST = {False: 5, True: 8}
+
+
+def alike(doc: np.ndarray, a: np.ndarray, item: np.ndarray, z: np.ndarray, window: int) -> np.ndarray:
+    """Of each pair of windows, of doc from a and of item from z, the most tokens equal along a path whose shift, between -2 and 2, may change by 1 from token to token at a cost of 1."""
+    ahead = np.minimum(a[:, None] + np.arange(-2, window + 2), len(doc) - 1)
+    near = doc[np.maximum(ahead, 0)].T
+    best = np.zeros((5, len(a)), dtype=np.int8)
+    for j in range(window):
+        w = item[np.minimum(z + j, len(item) - 1)]
+        moved = best.copy()
+        moved[1:] = np.maximum(moved[1:], best[:-1] - 1)
+        moved[:-1] = np.maximum(moved[:-1], best[1:] - 1)
+        best = moved + (near[j : j + 5] == w)
+    return best.max(axis=0)
+
+
 class Index:
     """Of one block of items and one script: window keys of every offset, sorted per repetition."""
 
@@ -136,7 +158,7 @@ class Index:
             table[mixed(k, 99) >> np.uint64(44)] = True
             self.seen.append(table)
 
-    def codes_of(self, n: int) -> np.ndarray:
+    def item_codes(self, n: int) -> np.ndarray:
         return self.codes[self.ends[n] - len(self.words[n]) : self.ends[n]]
 
     def possible(self, script: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -147,7 +169,7 @@ class Index:
         return starts[own[np.minimum(starts + self.window + 2, len(script))] - own[np.maximum(starts - 2, 0)] >= self.least]
 
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among starts, place among own windows) of all collisions whose windows agree in most tokens at equal places or one further."""
+        """(place among starts, place among own windows) of all collisions whose windows agree in about half of their tokens, each half at a shift of its own."""
         found = []
         if not len(self.starts) or not len(starts):
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
@@ -167,23 +189,14 @@ class Index:
         pair = np.unique(np.concatenate(found))
         place, own = pair // len(self.starts), pair % len(self.starts)
         a, z = starts[place], self.starts[own]
-        if not self.han:
-            same = np.zeros(len(pair), dtype=np.int32)
-            for j in range(self.window):
-                same += codes[a + j] == self.codes[z + j]
-            keep = same >= self.window - 4
-        else:  # a changed word of another length shifts what follows or precedes it
-            half, last, own_last = self.window // 2, len(codes) - 1, len(self.codes) - 1
-            counts = np.zeros((2, 5, len(pair)), dtype=np.int32)
-            for j in range(self.window):
-                for k, d in enumerate((-2, -1, 0, 1, 2)):
-                    counts[int(j >= half), k] += codes[np.clip(a + j + d, 0, last)] == self.codes[np.minimum(z + j, own_last)]
-            keep = np.maximum(counts[0, 2] + counts[1].max(axis=0), counts[0].max(axis=0) + counts[1, 2]) >= self.window - 6
+        keep = alike(codes, a, self.codes, z, self.window) >= self.window - LOST[self.han]
         return place[keep], own[keep]
 
 
-#: Unchanged tokens that must stand between two changed words; share of a stretch that may be changed; characters that a changed word of Han text may have.
-BETWEEN, SHARE, CHANGED = {False: 3, True: 4}, {False: 0.12, True: 0.13}, 5
+#: Least stretch; unchanged tokens that must stand between two changed words; share of a stretch that may be changed.
+LEAST, BETWEEN, SHARE = {False: LEAST_WORDS, True: LEAST_CHARS}, {False: 3, True: 4}, {False: 0.12, True: 0.13}
+#: Tokens that one changed word may have (characters in Han text), how many more it may have on one side than on the other, and shifts of the band.
+GAP, STEP, BAND = {False: 1, True: 5}, {False: 1, True: 2}, {False: 4, True: 8}
 
 
 def stretch(same: np.ndarray) -> tuple[int, int]:
@@ -205,35 +218,95 @@ def stretch(same: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def stretch_han(item: list[str], doc: list[str]) -> int:
-    """Characters of the longest stretch of Han text that both hold, changed words of up to CHANGED characters in it counted, in all no more than SHARE."""
-    blocks = [b for b in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() if b.size >= BETWEEN[True]]
-    best = 0
-    for i, first in enumerate(blocks):
-        changed = 0
-        for j in range(i, len(blocks)):
-            b = blocks[j]
-            if j > i:
-                p = blocks[j - 1]
-                gap = b.a - p.a - p.size, b.b - p.b - p.size
-                if max(gap) > CHANGED or abs(gap[0] - gap[1]) > 2:
-                    break
-                changed += max(gap)
-            n = sum(map(len, item[first.a : b.a + b.size]))
-            if changed <= SHARE[True] * n and n > best:
-                best = n
+def _runs(same: np.ndarray, size: int) -> np.ndarray:
+    """Where a run of so many equal tokens begins, on each diagonal."""
+    if len(same) < size:
+        return np.zeros((0, same.shape[1]), dtype=bool)
+    out = same[: len(same) - size + 1].copy()
+    for j in range(1, size):
+        out &= same[j : len(same) - size + 1 + j]
+    return out
+
+
+def stretch_in_band(item: np.ndarray, doc: np.ndarray, diagonal: int, weights: np.ndarray, han: bool) -> int:
+    """Weight of the longest stretch of the item that the document holds near a diagonal (place in doc less place in item), by dynamic programming over a band.
+
+    Runs of equal tokens are joined where a change of at most GAP tokens on either
+    side, STEP more on one than on the other, parts them, BETWEEN equal ones apart, and
+    the changed tokens are no more than SHARE of the stretch.
+    """
+    n, band = len(item), BAND[han]
+    padded = np.zeros(n + 2 * band, dtype=np.uint64)  # 0 is the code of no token
+    first = diagonal - band
+    lo, hi = max(0, first), min(len(doc), first + len(padded))
+    if hi <= lo:
+        return 0
+    padded[lo - first : hi - first] = doc[lo:hi]
+    same = np.lib.stride_tricks.sliding_window_view(padded, 2 * band + 1) == item[:, None]
+    # Exact necessary conditions first. A stretch with so few changes has a long run on one diagonal, and a part of least length with few tokens outside of runs.
+    if not _runs(same, 6 if not han else BETWEEN[True]).any():
+        return 0
+    inside = np.zeros(n + 1, dtype=np.int64)
+    for k in np.flatnonzero(_runs(same, BETWEEN[han]).any(axis=1)):
+        inside[k] += 1
+        if k + BETWEEN[han] <= n:
+            inside[k + BETWEEN[han]] -= 1
+    covered = np.concatenate([[0], (weights * (inside.cumsum()[:-1] > 0)).cumsum()])
+    reach = LEAST[han] if not han else n
+    if reach <= n and (covered[reach:] - covered[:-reach]).max() < (LEAST[han] - 8 if not han else (1 - SHARE[True]) * LEAST[han]):
+        return 0
+    # Where the run of equal tokens that a token is in ends, on each diagonal of the band.
+    free = np.where(same, n, np.arange(n)[:, None])
+    stop = np.minimum.accumulate(free[::-1], axis=0)[::-1]
+    total = np.concatenate([[0], weights.cumsum()])
+    least, gap, step, best = BETWEEN[han], GAP[han], STEP[han], 0
+    begins = same.copy()
+    begins[1:] &= ~same[:-1]
+    todo: list[dict[int, dict[int, int]]] = [{} for _ in range(n + 1)]  # by the end of a run: diagonal, tokens changed so far: first token
+    for i, k in zip(*np.nonzero(begins)):
+        z = int(stop[i, k])
+        if not han or z - i >= least:
+            todo[z].setdefault(int(k), {})[0] = int(i)
+    for end in range(1, n + 1):
+        for k, states in todo[end].items():
+            for changed, start in sorted(states.items()):
+                weight = int(total[end] - total[start])
+                if weight > best and changed <= SHARE[han] * (weight if han else end - start):
+                    best = weight
+                if changed + 1 > SHARE[han] * int(total[n] - total[start]):
+                    continue
+                for d in range(-step, step + 1):
+                    if not 0 <= k + d <= 2 * band:
+                        continue
+                    for skip in range(max(0, -d), gap + 1 - max(0, d)):  # tokens of the item left out; skip + d of the document
+                        at = end + skip
+                        if at >= n or not (skip or d) or not same[at, k + d]:
+                            continue
+                        z = int(stop[at, k + d])
+                        if z - at < least and (han or z < n and z - at < 1):
+                            continue
+                        cost = changed + max(skip, skip + d)
+                        if z - at < least:  # too short to stand between two changes: it may only end the stretch
+                            weight = int(total[z] - total[start])
+                            if weight > best and cost <= SHARE[han] * (weight if han else z - start):
+                                best = weight
+                            continue
+                        known = todo[z].setdefault(k + d, {})
+                        if start < known.get(cost, n):
+                            known[cost] = start
     return best
 
 
-def enough(index: Index, n: int, off: int, codes: np.ndarray, words: list[str], at: int) -> bool:
-    """Whether item n, whose token off stands at token at of the document, is held in a stretch that counts."""
-    item = index.words[n]
-    a, z = max(0, at - off), min(len(words), at - off + len(item))
-    if not index.han:
-        lo = a - (at - off)
-        start, end = stretch(index.codes_of(n)[lo : lo + z - a] == codes[a:z])
-        return end - start >= LEAST_WORDS
-    return stretch_han(item, words[max(0, a - 10) : z + 10]) >= LEAST_CHARS
+def enough(item: np.ndarray, words: list[str], doc: np.ndarray, diagonal: int, han: bool) -> bool:
+    """Whether the document holds, around a diagonal, a stretch of the item that counts. item, doc: codes; words: of the item."""
+    if not han:  # without shifts one comparison tells
+        lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+        if hi > lo:
+            start, end = stretch(item[lo:hi] == doc[lo + diagonal : hi + diagonal])
+            if end - start >= LEAST_WORDS:
+                return True
+    weights = np.array([len(w) for w in words]) if han else np.ones(len(words), dtype=np.int64)
+    return stretch_in_band(item, doc, diagonal, weights, han) >= LEAST[han]
 
 
 def probe(batches: Iterator[pd.DataFrame], indexes: dict[bool, Index]) -> Iterator[pd.DataFrame]:
@@ -260,10 +333,10 @@ def probe(batches: Iterator[pd.DataFrame], indexes: dict[bool, Index]) -> Iterat
                 at, off = int(s - base[d]), int(index.offset[o])
                 done = tried.setdefault((d, n), [])
                 diagonal = at - off
-                if any(abs(diagonal - x) <= (3 if han else 0) for x in done):
+                if any(abs(diagonal - x) <= BAND[han] // 2 for x in done):
                     continue
                 done.append(diagonal)
-                if enough(index, n, off, codes[base[d] : base[d + 1]], words[d], at):
+                if enough(index.item_codes(n), index.words[n], codes[base[d] : base[d + 1]], diagonal, han):
                     out.add((d, n))
             if out:
                 rows = [(b["doc_id"].iloc[d], index.ids[n]) for d, n in out]
@@ -271,36 +344,84 @@ def probe(batches: Iterator[pd.DataFrame], indexes: dict[bool, Index]) -> Iterat
                 out = set()
 
 
+def window_keys(batches: Iterator[pd.DataFrame], every: bool) -> Iterator[pd.DataFrame]:
+    """(key, id, at, han) of the windows of (id, text): of items at every offset in their own script, of documents at the stride in both."""
+    vocabulary = Vocabulary()
+    for b in bounded(batches):
+        for i, text in zip(b["id"], b["text"]):
+            words = tokenise(text)
+            codes = vocabulary.codes(words)
+            own = is_han(words)
+            for han in (own,) if every else (False, True):
+                window, stride = WINDOW[han]
+                last = len(words) - window
+                if last < 0:
+                    continue
+                starts = np.arange(last + 1) if every else np.append(np.arange(0, last, stride), last)
+                if not every and han and not han_tokens(words).any():
+                    continue
+                for rep in range(REPS):
+                    key = embed(codes, starts, window, rep) + np.uint64(han)
+                    yield pd.DataFrame({"key": key.view(np.int64), "id": i, "at": starts, "han": han})
+
+
+def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, item_id) of the rows (doc_id, item_id, text, item, diagonals, han) that hold a stretch that counts."""
+    vocabulary = Vocabulary()
+    for b in bounded(batches):
+        out = []
+        for d, n, text, item, diagonals, han in b[["doc_id", "item_id", "text", "item", "diagonals", "han"]].itertuples(index=False, name=None):
+            words = tokenise(item)
+            codes, doc, done = vocabulary.codes(words), vocabulary.codes(tokenise(text)), []
+            for x in sorted(diagonals):
+                if not done or x - done[-1] > BAND[han] // 2:
+                    done.append(x)
+                    if enough(codes, words, doc, int(x), han):
+                        out.append((d, n))
+                        break
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "item_id"])
+
+
+def is_han(words: list[str]) -> bool:
+    return sum(bool(HAN.match(w)) for w in words) * 2 > len(words)
+
+
+def joined_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) for items of any size: keys are joined, hot ones salted, and pairs of texts verified where they collide."""
+    schema = "key long, id long, at int, han boolean"
+    own = durable(items.select(F.col("item_id").alias("id"), "text").mapInPandas(lambda b: window_keys(b, True), schema), "item-keys")
+    probes = durable(docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(lambda b: window_keys(b, False), schema), "doc-keys")
+    most = max(HOT, (own.count() + probes.count()) // MOST_HOT)  # so that no more than MOST_HOT keys can be hot
+    hot = small(own.select("key").unionByName(probes.select("key")).groupBy("key").count().filter(F.col("count") > most).select("key", F.lit(True).alias("hot")), MOST_HOT)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "at"), F.lit(SALTS))).otherwise(0)
+    left = probes.join(hot, "key", "left").select("key", salt.cast("int").alias("salt"), F.col("id").alias("doc_id"), F.col("at").alias("a"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = own.join(hot, "key", "left").select("key", F.explode(salts).alias("salt"), F.col("id").alias("item_id"), F.col("at").alias("z"), "han")
+    met = left.join(right, ["key", "salt"]).select("doc_id", "item_id", "han", (F.col("a") - F.col("z")).alias("x")).distinct()
+    pairs = met.groupBy("doc_id", "item_id", "han").agg(F.collect_list("x").alias("diagonals"))  # of one document and one item: no more than their windows
+    return pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").mapInPandas(verified, "doc_id long, item_id long").distinct()
+
+
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): one row for each document and item of which it holds a stretch of LEAST_WORDS words (LEAST_CHARS characters).
 
-    Items come to the driver one by one and are handled in blocks of BLOCK characters;
-    documents are only scanned, never shuffled. Items and documents shorter than a window, null texts
-    and rows without identifier have no hits; repeated rows give one row.
+    Up to BLOCK characters of items, counted first, are broadcast as an index, and
+    documents are scanned in place; more items are joined on window keys. Items and
+    documents shorter than a window, null texts and rows without identifier have no
+    hits; repeated rows give one row.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     ids = items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null").distinct()
-    out, block = None, []
-
-    def scan(block: list[tuple[int, str]]) -> DataFrame:
-        split: dict[bool, list[tuple[int, list[str]]]] = {False: [], True: []}
-        for i, t in block:
-            words = tokenise(t)
-            split[sum(bool(HAN.match(w)) for w in words) * 2 > len(words)].append((i, words))
-        shared = spark.sparkContext.broadcast({han: Index(x, han) for han, x in split.items() if x})
-        return docs.mapInPandas(lambda batches: probe(batches, shared.value), "doc_id long, item_id long")
-
-    size = 0
+    if (ids.agg(F.sum(F.length("text"))).first()[0] or 0) > BLOCK:
+        return joined_leaks(docs, ids)
+    split: dict[bool, list[tuple[int, list[str]]]] = {False: [], True: []}
     for r in ids.toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK:
-            out = scan(block) if out is None else out.unionByName(scan(block))
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if block or out is None:
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    return out.distinct()
+        words = tokenise(r["text"])
+        split[is_han(words)].append((r["item_id"], words))
+    shared = spark.sparkContext.broadcast({han: Index(x, han) for han, x in split.items() if x})
+    return docs.mapInPandas(lambda batches: probe(batches, shared.value), "doc_id long, item_id long").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

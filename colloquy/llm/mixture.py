@@ -13,33 +13,26 @@ partition, and the partitions' totals are carried forward.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.tokens import VOCABULARY, content, encoding_of
 from colloquy.session import durable, small
 
-#: Vocabulary of a public tokenizer: one base64 token and its rank per line.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the splitting pattern that belongs to that vocabulary.
-SPLITS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 
 def token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """df's columns without the text, and tokens; null texts have none."""
     kept = [c for c in df.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text) + ", tokens long"
+    shared = content(vocabulary)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("public", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={})
+        encoding = encoding_of(shared.value)
         for b in batches:
             yield b[kept].assign(tokens=[len(encoding.encode_ordinary(t)) if t else 0 for t in b[text]])
 
@@ -57,23 +50,23 @@ def queue(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: s
     counted = durable(counted.join(small(want.select("source")), "source", "left_semi"), "tokens")
     # Repeated rows of one document count once, as one document may be used no more than max_repeats times.
     counted = counted.groupBy("doc_id", "source").agg(F.max("tokens").alias("tokens"), F.max("key").alias("key"))
-    spread = durable(counted.repartitionByRange(F.col("source"), F.col("key"), F.col("doc_id")).sortWithinPartitions("source", "key", "doc_id").withColumn("part", F.spark_partition_id()), "spread")
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried: dict[tuple[int, str], int] = {}
+        part, carried = TaskContext.get().partitionId(), {}
         for b in batches:
-            ends = b.groupby(["part", "source"], sort=False)["tokens"].cumsum()
-            start = [carried.get(k, 0) for k in zip(b["part"], b["source"])]
-            for k, n in b.groupby(["part", "source"], sort=False)["tokens"].sum().items():
+            ends = b.groupby("source", sort=False)["tokens"].cumsum()
+            start = b["source"].map(carried).fillna(0).to_numpy(dtype=np.int64)
+            for k, n in b.groupby("source", sort=False)["tokens"].sum().items():
                 carried[k] = carried.get(k, 0) + int(n)
-            yield b[["doc_id", "source", "tokens", "part"]].assign(within=ends - b["tokens"] + np.array(start, dtype=np.int64))
+            yield b[["doc_id", "source", "tokens"]].assign(part=part, within=ends - b["tokens"] + start)
 
+    ranged = counted.repartitionByRange(F.col("source"), F.col("key"), F.col("doc_id")).sortWithinPartitions("source", "key", "doc_id")
+    spread = durable(ranged.mapInPandas(sums, "doc_id long, source string, tokens long, part int, within long"), "spread")
     # Few distinct (part, source): a source lies in neighbouring partitions, so there are at most partitions + sources of them.
     totals = spread.groupBy("part", "source").agg(F.sum("tokens").alias("n"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", "source", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    within = spread.repartition("part", "source").sortWithinPartitions("part", "source", "key", "doc_id").mapInPandas(sums, "doc_id long, source string, tokens long, part int, within long")
-    placed = within.join(offsets, ["part", "source"]).select("doc_id", "source", "tokens", (F.col("within") + F.col("offset")).alias("before"))
+    placed = spread.join(small(offsets), ["part", "source"]).select("doc_id", "source", "tokens", (F.col("within") + F.col("offset")).alias("before"))
     per_source = want.join(totals.groupBy("source").agg(F.sum("n").alias("total")), "source", "left").fillna(0, ["total"])
     return placed, per_source
 
@@ -101,9 +94,12 @@ def virtual_end(per_source: DataFrame, budget: int | None = None) -> float:
 
 def _picked(placed: DataFrame, per_source: DataFrame, end: float) -> DataFrame:
     rows = placed.join(small(per_source), "source").filter((F.col("share") > 0) & (F.col("repeats") > 0))
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+    last = F.lit(end) * (1 + 1e-12)
+    # Copies that finish in time, one more against rounding; the others are never made.
+    n = F.greatest(F.lit(0), F.least(F.col("repeats").cast("long"), F.floor((last * F.col("share") - F.col("before") - F.col("tokens")) / F.col("total")) + 2))
+    copies = rows.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))))
     finish = (F.col("copy") * F.col("total") + F.col("before") + F.col("tokens")) / F.col("share")
-    return copies.withColumn("finish", finish).filter(F.col("finish") <= F.lit(end) * (1 + 1e-12))
+    return copies.withColumn("finish", finish).filter(F.col("finish") <= last)
 
 
 def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:

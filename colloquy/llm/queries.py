@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "p8_found": lambda s, d: leaks.find_leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_report": lambda s, d: leaks.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_mix": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_budget": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets"), budget=1_000_000),
         "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p10_found": lambda s, d: pii.find_pii(table(s, d, "documents")),
         "p10_masked": lambda s, d: pii.mask_pii(table(s, d, "documents")),
