@@ -137,30 +137,39 @@ class SuffixAutomaton:
 
 #: Shares from which a response is a copy: of its own words, and of the prompt's body (unless it is the instructions that are copied).
 COPIED_OWN, COPIED_BODY, RUN = 0.75, 0.5, 4
+#: Most tokens of an opening before the copy; it is less than half of the response.
+OPENING = 12
 _HEAD_END = re.compile(r"(?:^|[\n\r.。*_ ])(?:meeting\s+transcript|transcript|summary|items|逐字稿|摘要)[ \t*_]*(?:[:：]|[ \t][-–](?=\s)|(?=[\n\r]))")
 
 
-def may_copy(prompt: str, completion: str) -> bool:
-    """Exact necessary condition for COPIED_OWN, on letters only: enough aligned windows of the response stand in the prompt."""
-    p, c = letters(prompt), letters(completion)
-    if not c or not p:
+def may_copy(prompt: str, tokens: list[str]) -> bool:
+    """Exact necessary condition for COPIED_OWN, so that the automaton is built for likely copies only.
+
+    A token in a shared run of RUN tokens stands in a window of so many whose letters,
+    joined, stand among the prompt's. Tokens in no such window beyond those that an
+    opening and 1 - COPIED_OWN of the rest may take rule a copy out.
+    """
+    p, n = letters(prompt), len(tokens)
+    if not p or not n:
         return False
-    w = 12 if c.isascii() else 5
-    if len(c) < 2 * w:
-        return c in p
-    starts = range(0, len(c) - w + 1, w)
-    misses, most = 0, 0.75 * len(starts)
-    for i in starts:
-        if c[i : i + w] not in p:
-            misses += 1
-            if misses > most:
+    size = min(RUN, n)
+    spare = n - COPIED_OWN * (n - min(OPENING, n / 2))
+    missing, covered = 0, 0  # tokens before `covered` are in a window that is there
+    for i in range(n):
+        if i + size <= n and "".join(tokens[i : i + size]) in p:
+            covered = i + size
+        elif i >= covered:
+            missing += 1
+            if missing > spare:
                 return False
     return True
 
 
-def is_copied(prompt: str, completion: str) -> bool:
-    """prompt, completion: normalised."""
+def is_copied(prompt: str, completion: str, gate: bool = True) -> bool:
+    """prompt, completion: normalised. Without the gate the automaton is always built; the answer is the same."""
     tokens = WORD.findall(completion)
+    if gate and not may_copy(prompt, tokens):
+        return False
     head = _HEAD_END.search(prompt)
     cut = head.end() if head else len(prompt)
     front, body = WORD.findall(prompt[:cut]), WORD.findall(prompt[cut:])
@@ -168,7 +177,7 @@ def is_copied(prompt: str, completion: str) -> bool:
     runs = SuffixAutomaton(front + body).runs(tokens, least)
     if not runs:
         return False
-    opening = runs[0][0] if runs[0][0] <= 12 and runs[0][0] < 0.5 * len(tokens) else 0
+    opening = runs[0][0] if runs[0][0] <= OPENING and runs[0][0] < 0.5 * len(tokens) else 0
     copied = sum(e - s for s, e, _ in runs)
     if copied < COPIED_OWN * (len(tokens) - opening):
         return False
@@ -367,17 +376,16 @@ def truncation(text: str, task: str | None) -> bool | list[int]:
     last = tokens_of(own[-1] if own else lines[-1])
     if not last:
         return False
-    keys = end_keys(last)
-    return keys if len(last) <= 30 else [*keys[:2], 0, 0]
+    return end_keys(last)
 
 
-#: How rarely a word may end a unit and still end one; how many units must start alike, and with how few last words to one of them, before their ends are trusted.
-RARE_END, SELDOM_END, ALIKE, FEW_ENDS = 0.004, 0.1, 60, 0.04
+#: How rarely a word may end a unit and still end one; how few different last words there must be to one unit that starts alike, and how many more are reckoned with, unseen, before their ends are trusted.
+RARE_END, SELDOM_END, FEW_ENDS, UNSEEN = 0.004, 0.1, 0.04, 1
 
 
 def cut_off(e1, n1, e3, ns, ds):
     """On the looked-up counts of the last word (at an end, at all), of start with last word, and of the start (units, different last words). Columns or numbers."""
-    return (e1 <= n1 * RARE_END) | ((e3 == 0) & (e1 <= n1 * SELDOM_END) & (ns >= ALIKE) & (ds <= ns * FEW_ENDS))
+    return (e1 <= n1 * RARE_END) | ((e3 == 0) & (e1 <= n1 * SELDOM_END) & (ds > 0) & (ds + UNSEEN <= ns * FEW_ENDS))
 
 
 def verdict(prompt: str | None, completion: str | None, due: str | None, task: str | None, model: residue.Letters | None) -> str | None | list[int]:
@@ -388,7 +396,7 @@ def verdict(prompt: str | None, completion: str | None, due: str | None, task: s
     text, asked = residue.bare(completion), norm(prompt)
     if is_refusal(text):
         return "refusal"
-    if may_copy(asked, text) and is_copied(asked, text):
+    if is_copied(asked, text):
         return "copied_prompt"
     if wrong_language(text, due):
         return "wrong_language"

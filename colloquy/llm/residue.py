@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import norm
@@ -31,7 +32,7 @@ _SLOT = re.compile(
     r"|<(?:your|insert|enter|add|the|name of|fill)\b[^<>\n]{2,60}>|<[a-z]+(?:[ _-][a-z]+)* here>"
     r"|[\[【(（<](?:insert|your|enter|fill in|add|tbd|todo|to be (?:added|filled|determined|confirmed)|placeholder)\b[^\]】)）>\n]{0,60}[\]】)）>]"
     r"|[\[【(（<](?:請(?:在此)?(?:填|輸)|待補|待填|待定|此處填|填入|在此填|尚未填)[^\]】)）>\n]{0,40}[\]】)）>]"
-    r"|\{[a-z]+(?:_[a-z\d]+)+\}|^(?:[^\W\d]{1,12}\s*[:：]\s*)?<(?!聽不清|笑聲|掌聲|音樂|咳嗽|雜音)[一-鿿]{2,8}>\W*$"
+    r"|\{[a-z]+(?:_[a-z\d]+)+\}|<(?!聽不清|笑聲|掌聲|音樂|咳嗽|嘆氣|停頓|沉默|背景|雜音|多人)[一-鿿]{2,8}>"
     r"|_{4,}|[○〇]{2,}|(?<!\w)x{3,}(?!\w)|\btodo\s*[:：]|^\W*tbd\W*$|\btbd\s*[:：]|\(fill in [^()\n]{1,40}\)|\blabel_\d+\b",
     re.M,
 )
@@ -135,36 +136,18 @@ def repeats(unit: str) -> bool:
     return False
 
 
-# What must stand somewhere in a text before a pattern is worth trying; plain substring tests decide for almost all texts.
-_HINTS = {
-    "slot": ("{{", "${", "_", "<", "[[", "<%", "{%", "____", "○○", "〇〇", "xxx", "todo", "tbd", "<your", "<insert", "<enter", "<add", "<the", "<name", "<fill", " here>", "[insert", "[your", "[enter", "[fill", "[add", "[to be", "[placeholder", "(insert", "(your", "(enter", "(fill", "(add", "(to be", "請在", "請填", "請輸", "待補", "待填", "待定", "此處填", "填入", "尚未填", "@@", "%", "label_"),
-    "fill": ("lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "eiusmod", "incididunt", "aliqua", "placeholder", "dummy", "sample", "filler", "text goes here", "to follow", "delete before", "quick brown", "testing", "示意用", "示範", "測試", "範例", "填充", "假文", "內容待補", "請勿發布"),
-    "item": ("item", "point", "bullet", "line", "section", "topic", "entry", "text", "heading", "paragraph", "example", "項目", "要點", "重點", "內容", "條目", "文字", "標題", "段落", "範例"),
-    "script": ("script", "js", "指令碼", "腳本"),
-    "error": ("error", "http", "gateway", "not found", "forbidden", "unauthor", "unavailable", "too many requests", "bad request", "denied", "permission", "expired", "timed out", "in again", "this page", "this site", "reloading", "page ", "upstream", "connection", "traceback", "file \"", "exception", "exceeded", "overloaded", "went wrong", "timeout", "逾時", "伺服器", "找不到", "頁面", "網頁", "系統", "稍後", "錯誤", "存取", "權限", "服務", "登入"),
-}
-
-
-def hints(text: str) -> dict[str, bool]:
-    return {k: any(w in text for w in words) for k, words in _HINTS.items()}
-
-
-def unit_kind(unit: str, model: Letters | None = None, may: dict[str, bool] | None = None) -> str | None:
-    """The kind of residue that one unit is or holds; may: the patterns worth trying."""
-    may = may or dict.fromkeys(_HINTS, True)
-    if may["slot"] and _SLOT.search(unit):
+def unit_kind(unit: str, model: Letters | None = None, items: bool = True) -> str | None:
+    """The kind of residue that one unit is or holds; items: whether a numbered item without content counts."""
+    if _SLOT.search(unit):
         return "placeholder"
-    if may["fill"]:
-        words = _LETTER.findall(unit)
-        if len(words) >= 3 and sum(w in _LATIN for w in words) >= 0.75 * len(words) and len(set(words) & _LATIN) >= 3:
-            return "filler_text"
-        if _FILL.search(unit):
-            return "filler_text"
-    if may["item"] and len(unit) < 40 and _ITEM.search(unit) or repeats(unit):
+    words = _LETTER.findall(unit)
+    if len(words) >= 3 and sum(w in _LATIN for w in words) >= 0.75 * len(words) and len(set(words) & _LATIN) >= 3:
+        return "filler_text"
+    if _FILL.search(unit) or items and len(unit) < 40 and _ITEM.search(unit) or repeats(unit):
         return "filler_text"
-    if may["script"] and _SCRIPT.search(unit) and not _REPORT.search(unit):
+    if _SCRIPT.search(unit) and not _REPORT.search(unit):
         return "script_notice"
-    if may["error"] and (m := _ERROR.search(unit)) and (m.start() <= 14 or len(m.group()) >= 0.5 * len(unit)) and not _REPORT.search(unit[m.end() :]):
+    if (m := _ERROR.search(unit)) and (m.start() <= 14 or len(m.group()) >= 0.5 * len(unit)) and not _REPORT.search(unit[m.end() :]):
         return "error_page"
     if meaningless(unit, model):
         return "filler_text"
@@ -179,12 +162,11 @@ def residue_kind(completion: str | None, model: Letters | None = None) -> str |
     text = bare(completion)
     if not text.strip():
         return None
-    may = hints(text)
     parts = units(text)
-    found = {kind for u in parts if (kind := unit_kind(u, model, may))}
-    if found == {"filler_text"} and may["item"]:
+    found = {kind for u in parts if (kind := unit_kind(u, model))}
+    if found == {"filler_text"}:
         items = sum(len(u) < 40 and bool(_ITEM.search(u)) for u in parts)
-        others = sum(unit_kind(u, model, may | {"item": False}) == "filler_text" for u in parts)
+        others = sum(unit_kind(u, model, items=False) == "filler_text" for u in parts)
         if not others and items < min(3, max(2, 0.8 * len(parts))):
             return None
     return next((kind for kind in ("placeholder", "script_notice", "error_page", "filler_text") if kind in found), None)
@@ -222,32 +204,34 @@ def _add(total: np.ndarray, words: Counter) -> None:
 
 # ---------------------------------------------------------------- operator
 
-#: Unrelated hosts under which one short response must stand before weak evidence suffices, and its greatest length.
-HOSTS, SHORT = 5, 240
+#: Unrelated hosts (meetings) under which a response must stand to count as duplicated, and terms up to which it says little.
+HOSTS, LITTLE = 5, 24
+#: Points of combined evidence that residue must exceed: see evidence().
+ENOUGH = 5
 _MASK = re.compile(r"\d+")
-_TERM = re.compile(r"[a-z]{4,}|[一-鿿]{2}")
-
+_TERM = re.compile(r"[a-z]{4,}|[一-鿿]{2,}")
 
 # Words of the detectors that hardly occur in talk about other things.
 _WEAK = (
     ("script_notice", re.compile(r"java ?script|\bscripts?\b|\bcookies\b|指令碼|腳本")),
-    ("error_page", re.compile(r"\berrors?\b|\bhttp\b|\bgateway\b|\bdenied\b|\bpermission\b|\bexpired\b|\btimed? ?out\b|\bupstream\b|\bunavailable\b|\breload\w*|\bexception\b|\boverloaded\b|逾時|伺服器|錯誤|權限|存取|登入")),
+    ("error_page", re.compile(r"\berrors?\b|\bhttp\b|\bgateway\b|\bdenied\b|\bpermission\b|\bexpired\b|\btimed? ?out\b|\bupstream\b|\bunavailable\b|\breload\w*|\bexception\b|\boverloaded\b|\bnot found\b|逾時|伺服器|錯誤|權限|存取|登入")),
     ("filler_text", re.compile(r"\bplaceholder\b|\bdummy\b|\blorem\b|假文|內容待補")),
 )
 
 
 def weak_kind(text: str) -> str | None:
-    """The kind that a short text in sentences hints at, unless it reports about such things."""
-    if not re.search(r"[.!。！]", text) or _REPORT.search(text):
-        return None
-    return next((kind for kind, p in _WEAK if p.search(text)), None)
+    """The kind that a text hints at, unless it reports about such things."""
+    return None if _REPORT.search(text) else next((kind for kind, p in _WEAK if p.search(text)), None)
 
 
 def terms(text: str) -> set[str]:
     """Content terms of a text: words of four letters or more, pairs of Han characters."""
-    out = {w for w in _TERM.findall(text) if w.isascii()}
-    for run in re.findall(r"[一-鿿]{2,}", text):
-        out.update(run[i : i + 2] for i in range(len(run) - 1))
+    out: set[str] = set()
+    for w in _TERM.findall(text):
+        if w.isascii():
+            out.add(w)
+        else:
+            out.update(w[i : i + 2] for i in range(len(w) - 1))
     return out
 
 
@@ -257,14 +241,34 @@ def mismatch(slug: str | None, completion: str) -> bool:
     return not body & terms(norm(slug)) if body else False
 
 
+def says_again(text: str) -> bool:
+    """True if a page's body has no term beside those of its title, its first line."""
+    title, _, body = text.strip().partition("\n")
+    return bool(said := terms(body)) and said <= terms(title)
+
+
+def evidence(hosts: Column, off: Column, few: Column, hint: Column, again: Column) -> Column:
+    """Points of a response for residue.
+
+    2 if it stands, digits aside, under at least HOSTS hosts, 2 if most of its rows
+    mismatch their slugs, 1 each if it says little, if a detector's word hints at a
+    kind, if its body only says its title again. Duplicated and mismatched text that
+    neither hint nor repetition supports, such as a refusal, does not get over ENOUGH.
+    """
+    one = lambda c: c.cast("int")
+    return one(hosts >= HOSTS) * 2 + one(off > 0.5) * 2 + one(few) + one(hint.isNotNull()) + one(again)
+
+
 def find_residue(df: DataFrame) -> DataFrame:
     """(target_id, residue_kind) of records with target_id, meeting_id, prompt, completion.
 
-    What the detectors see in a unit is settled in one pass. A short response that
-    only hints at residue is judged by combined evidence: it must share no term with
-    its own prompt and stand, digits aside, under at least HOSTS different meetings
-    and more than half of its rows must mismatch. Null and empty completions are no
-    case; rows without target_id are left out; repeated rows give one row.
+    One pass settles what the placeholder detectors see in a unit, and writes of all
+    other responses a digest without digits, host and the features of evidence(). They
+    are summed per digest, first by (digest, host), so that no host and no digest is one
+    task's work; a response is residue by combined evidence if it is duplicated and
+    mismatched and has more than ENOUGH points, whatever its length, hinted at or not.
+    Null and empty completions are no case; rows without target_id are left out;
+    repeated rows give one row.
     """
     model = Letters(letter_counts(df, "completion"))
 
@@ -274,23 +278,24 @@ def find_residue(df: DataFrame) -> DataFrame:
             for i, host, p, c in zip(b["i"], b["host"], b["p"], b["c"]):
                 kind = residue_kind(c, model)
                 if kind:
-                    rows.append((i, kind, None, None, None, None))
-                    continue
-                if not c or len(c) > SHORT:
+                    rows.append((i, kind, None, None, False, False, None, False))
                     continue
-                text = bare(c)
-                weak = weak_kind(text)
-                if weak:
-                    rows.append((i, None, weak, _MASK.sub("0", text.strip()), host, mismatch(p, text)))
+                text = bare(c).strip()
+                if said := terms(text):
+                    mask = blake2b(_MASK.sub("0", text).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    rows.append((i, None, mask, host, not said & terms(norm(p)), len(said) <= LITTLE, weak_kind(text), says_again(text)))
             if rows:
-                yield pd.DataFrame(rows, columns=["i", "kind", "weak", "mask", "host", "off"])
+                yield pd.DataFrame(rows, columns=["i", "kind", "mask", "host", "off", "few", "hint", "again"])
 
     picked = df.select(F.col("target_id").cast("long").alias("i"), F.col("meeting_id").alias("host"), F.col("prompt").alias("p"), F.col("completion").alias("c")).filter("i is not null")
-    seen = durable(picked.mapInPandas(kernel, "i long, kind string, weak string, mask string, host string, off boolean"), "residue")
+    seen = durable(picked.mapInPandas(kernel, "i long, kind string, mask binary, host string, off boolean, few boolean, hint string, again boolean"), "residue")
     strong = seen.filter("kind is not null").select("i", "kind")
-    weak = seen.filter("weak is not null")
-    pages = weak.groupBy("mask").agg(F.countDistinct("host").alias("hosts"), F.avg(F.col("off").cast("int")).alias("off")).filter((F.col("hosts") >= HOSTS) & (F.col("off") > 0.5))
-    combined = weak.join(pages.select("mask"), "mask", "left_semi").select("i", F.col("weak").alias("kind"))
+    number = lambda c: F.col(c).cast("int")
+    per_host = seen.filter("mask is not null").groupBy("mask", "host").agg(F.count(F.lit(1)).alias("n"), F.sum(number("off")).alias("off"), F.max(number("few")).alias("few"), F.max("hint").alias("hint"), F.max(number("again")).alias("again"))
+    pages = per_host.groupBy("mask").agg(F.count("host").alias("hosts"), (F.sum("off") / F.sum("n")).alias("off"), F.max("few").alias("few"), F.max("hint").alias("hint"), F.max("again").alias("again"))
+    points = evidence(*(F.col(c) for c in ("hosts", "off", "few", "hint", "again")))
+    flagged = pages.filter((F.col("hosts") >= HOSTS) & (F.col("off") > 0.5) & (points > ENOUGH)).select("mask", F.coalesce("hint", F.lit("filler_text")).alias("kind"))
+    combined = seen.filter("mask is not null").select("i", "mask").join(flagged, "mask").select("i", "kind")
     return strong.unionByName(combined).select(F.col("i").alias("target_id"), F.col("kind").alias("residue_kind")).distinct()
 
 
