@@ -1,15 +1,18 @@
 """Problem 6: items packed into containers of fixed capacity, best fit first.
 
-Bulk-synchronous best fit. Sizes are whole numbers up to the capacity, so items
-of one size, and containers of one gap, are interchangeable: the sorted runs of
-items and gaps are kept as counts per size, gathered by a distributed counting
-sort. Each superstep takes the next range of sizes, largest first, matches each
-run of items with its successor among the gaps (the smallest gap that holds it),
-resolves conflicts by rank (the first so many containers of the run take one item
-each), updates the gaps, opens containers for what found none, and goes on. What
-a superstep works on is bounded by the capacity, not by the data. Its matches are
-runs too, (size, ranks) to (container numbers), and every executor places its own
-items by their rank among the items of their size: items are never shuffled.
+Bulk-synchronous best fit. Items are range-sorted by size over the executors, and
+the sorted order is kept as runs: sizes are whole numbers up to the capacity, items
+of one size and containers of one gap are interchangeable, so a run is a size with
+a count and the runs of all items are at most as many numbers as the capacity. A
+superstep takes the next class of sizes, largest first, range-sorts its runs of
+items together with the runs of gaps, and sweeps every range on an executor of its
+own: each run of items takes its successor among the gaps, the smallest that holds
+it, and the gap that remains goes back. Items whose successor lies beyond their
+range meet the gaps left of all ranges in one more sweep, where those of higher
+rank, larger and earlier, win conflicts, and containers are opened for what found
+none. The next superstep starts from the updated gaps. Matches are runs too, (size,
+ranks) to (container numbers), and every executor places its own items by their
+ranks.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.session import durable
+from colloquy.session import durable, small
+
+#: Ranges of a superstep's class that are swept side by side.
+RANGES = 8
 
 
 class Gaps:
@@ -55,21 +61,73 @@ class Gaps:
         return gap, first, min(n, most)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """(size, first rank, first container, how many) of each run of matches, and the number of containers. counts: items per size, 1 to capacity."""
-    gaps, placed, opened = Gaps(), [], 0
-    for size in sorted(counts, reverse=True):  # one superstep per size that occurs
-        rank, left = 0, counts[size]
+Run = tuple[int, int, int]  # items: size, first rank, how many; gaps: gap, first container, how many
+
+
+def sweep(items: list[Run], gaps: list[Run], capacity: int = 0, opened: int = 0) -> tuple[list[tuple[int, int, int, int]], list[Run], list[Run], int]:
+    """(matches as (size, first rank, first container, how many), runs of items left, runs of gaps left, containers opened in all).
+
+    Largest items first, each run with its successor among the gaps. With a capacity,
+    containers are opened for items that no gap holds, numbered from `opened`.
+    """
+    open_, placed, rest = Gaps(), [], []
+    for gap, first, n in gaps:
+        open_.add(gap, first, n)
+    for size, rank, left in sorted(items, key=lambda x: (-x[0], x[1])):
         while left:
-            got = gaps.take(size, left)
+            got = open_.take(size, left)
             if got is None:
+                if not capacity:
+                    rest.append((size, rank, left))
+                    break
                 n = -(-left // (capacity // size))  # open as many as the rest fills; each takes one now, more in the next rounds
                 got = capacity, opened, min(n, left)
                 opened += got[2]
             gap, first, n = got
             placed.append((size, rank, first, n))
-            gaps.add(gap - size, first, n)
+            open_.add(gap - size, first, n)
             rank, left = rank + n, left - n
+    return placed, rest, [(gap, first, n) for gap in open_.sizes for first, n in open_.runs[gap]], opened
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """sweep() over all sizes at once: what the supersteps are measured against. counts: items per size, 1 to capacity."""
+    placed, _, _, opened = sweep([(s, 0, n) for s, n in counts.items()], [], capacity)
+    return placed, opened
+
+
+_RUNS = "kind int, size long, first long, n long, box long"
+ITEM, GAP, MATCH = 0, 1, 2
+
+
+def _swept(runs: pd.DataFrame, capacity: int = 0, opened: int = 0) -> pd.DataFrame:
+    of = lambda kind: list(runs.loc[runs["kind"] == kind, ["size", "first", "n"]].itertuples(index=False, name=None))
+    placed, rest, gaps, _ = sweep(of(ITEM), of(GAP), capacity, opened)
+    out = [(MATCH, s, r, n, c) for s, r, c, n in placed] + [(ITEM, *x, 0) for x in rest] + [(GAP, *x, 0) for x in gaps]
+    return pd.DataFrame(out, columns=["kind", "size", "first", "n", "box"])
+
+
+def supersteps(spark: SparkSession, counts: dict[int, int], capacity: int, ranges: int = RANGES) -> tuple[list[tuple[int, int, int, int]], int]:
+    """The matches of best fit by supersteps on the executors, and the number of containers. Between two of them the driver holds the runs only, whose number the capacity bounds."""
+    placed: list[tuple[int, int, int, int]] = []
+    gaps, opened, high = [], 0, capacity
+    while high:
+        low = high // 2
+        items = [(s, 0, n) for s, n in sorted(counts.items()) if low < s <= high]
+        if items:
+            width = max(1, -(-(high - low) // ranges))
+            usable = [(GAP, *g, 0, min(ranges, (g[0] - low - 1) // width)) for g in gaps if g[0] > low]
+            rows = [(ITEM, *x, 0, (x[0] - low - 1) // width) for x in items] + usable
+            runs = spark.createDataFrame(pd.DataFrame(rows, columns=["kind", "size", "first", "n", "box", "range"]), _RUNS + ", range long")
+            own = runs.groupBy("range").applyInPandas(lambda x: _swept(x), _RUNS)
+            at = opened
+            # One sweep over what the ranges left; matches of the first pass ride along as they are.
+            last = own.groupBy().applyInPandas(lambda x: pd.concat([x[x["kind"] == MATCH], _swept(x, capacity, at)]), _RUNS).toPandas()
+            done = last[last["kind"] == MATCH]
+            placed += list(done[["size", "first", "box", "n"]].itertuples(index=False, name=None))
+            opened = max(opened, int((done["box"] + done["n"]).max()))
+            gaps = [g for g in gaps if g[0] <= low] + list(last.loc[last["kind"] == GAP, ["size", "first", "n"]].itertuples(index=False, name=None))
+        high = low
     return placed, opened
 
 
@@ -80,35 +138,41 @@ def place(items: DataFrame, capacity: int, id_col: str = "row_id", size_col: str
     that is packed like an item. Items of size 0, and null sizes, go to container 0.
     Rows without identifier are left out; rows that share one are items of their own.
 
-    An item's rank among those of its size is its rank within its part of the input,
-    written once, plus the sum of the parts before. To the driver come the counts per
-    size, at most as many numbers as the capacity; what is broadcast are the matches of
-    the supersteps, whose number the capacity bounds too.
+    Narrow rows (identifier, size) are range-sorted once and written with their rank
+    among those of their size within their part; sizes lie in neighbouring parts, so
+    there are at most parts + sizes pairs of both, whose sums of earlier parts are
+    counted and broadcast. To the driver come the counts per size, at most as many
+    numbers as the capacity; what is broadcast are the matches, which it bounds too.
     """
     spark = items.sparkSession
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        seen: dict[int, int] = defaultdict(int)
         for b in batches:
             size = b["size"].to_numpy()
             n = np.maximum(1, -(-size // capacity))
             at = np.repeat(np.arange(len(b)), n)
             piece = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            out = pd.DataFrame({"id": b["id"].to_numpy()[at], "piece": piece, "pieces": n[at], "size": np.minimum(capacity, size[at] - piece * capacity), "part": part})
-            out["rank"] = out.groupby("size").cumcount() + out["size"].map(seen).fillna(0).astype(int)
-            for s, k in out["size"].value_counts().items():
+            yield pd.DataFrame({"id": b["id"].to_numpy()[at], "piece": piece, "pieces": n[at], "size": np.minimum(capacity, size[at] - piece * capacity)})
+
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        seen: dict[int, int] = defaultdict(int)
+        for b in batches:
+            out = b.assign(part=part, rank=b.groupby("size").cumcount() + b["size"].map(seen).fillna(0).astype(int))
+            for s, k in b["size"].value_counts().items():
                 seen[s] += k
             yield out
 
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size")).filter("id is not null")
-    ranked = durable(rows.mapInPandas(pieces, "id long, piece int, pieces int, size int, part int, rank long"), "ranked")
+    schema = "id long, piece int, pieces int, size int"
+    cut = rows.mapInPandas(pieces, schema).repartitionByRange(F.desc("size"), F.xxhash64("id", "piece"))
+    ranked = durable(cut.mapInPandas(ranks, schema + ", part int, rank long"), "ranked")
     by_part = ranked.filter("size > 0").groupBy("part", "size").count()
     offsets = by_part.select("part", "size", F.coalesce(F.sum("count").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     counts = {r["size"]: r["n"] for r in by_part.groupBy("size").agg(F.sum("count").alias("n")).collect()}
-    placed, opened = best_fit(counts, capacity)
+    placed, opened = supersteps(spark, counts, capacity)
     runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for size, rank, first, _ in placed:
+    for size, rank, first, _ in sorted(placed):
         runs[size].append((rank, first))
     shared = spark.sparkContext.broadcast({s: (np.array([r for r, _ in x]), np.array([c for _, c in x])) for s, x in runs.items()})
 
@@ -123,7 +187,7 @@ def place(items: DataFrame, capacity: int, id_col: str = "row_id", size_col: str
                     box[at] = c[i] + ranks[at] - r[i]
             yield b[["id", "piece", "pieces", "size"]].assign(container=box)
 
-    joined = ranked.join(offsets, ["part", "size"], "left").select("id", "piece", "pieces", "size", "rank", "before")
+    joined = ranked.join(small(offsets), ["part", "size"], "left").select("id", "piece", "pieces", "size", "rank", "before")
     return joined.mapInPandas(assign, "id long, piece int, pieces int, size int, container long"), opened
 
 
@@ -147,8 +211,9 @@ def pack_rows(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def find_cut_rows(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(row_id): the rows that the packing could not keep whole."""
-    return pack_rows(rows, sizes).filter("pieces > 1").select("row_id").distinct()
+    """(row_id): the rows that the packing could not keep whole, that is, whose pieces lie in several containers. Pieces follow their row, so only rows that were cut are grouped."""
+    cut = pack_rows(rows, sizes).filter("pieces > 1")
+    return cut.groupBy("row_id").agg(F.count_distinct("container").alias("containers")).filter("containers > 1").select("row_id")
 
 
 def fill_report(rows: DataFrame, sizes: DataFrame) -> DataFrame:
