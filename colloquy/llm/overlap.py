@@ -1,21 +1,22 @@
 """Problem 7: meetings of the val and test splits that also stand in the train split.
 
 Texts are normalised to token sequences; equal sequences form a class, and only
-class representatives are compared. The passages of the evaluation classes are
-sharded by what training text can possibly hold them: content-chosen anchors
-(minima of hashed token runs over a sliding window) are equal wherever the text
-is, and a training text is scanned by the automata of exactly those evaluation
-records with which it shares enough anchors, all of them counted. Each evaluation
-record's passages make one Aho-Corasick automaton; matched passages are chained
-in order, merged into intervals, and measured as coverage of both texts.
+class representatives are compared. The evaluation classes are cut into passages,
+consecutive runs of tokens, and sharded by volume. The passages of one shard make
+one Aho-Corasick automaton over tokens, and every training class is scanned by it
+where it lies: all passages that stand in the text come out in one traversal,
+whatever their number. For each record with enough of them, the matched passages are
+chained in order, merged into intervals, and measured as coverage of both texts.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import ahocorasick
@@ -27,14 +28,14 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import FILLER, HAN, LABEL, NOTE, STAMP, WORD, norm
 from colloquy.session import durable
 
-#: Tokens in a hashed run and runs in a window, for words and for Han characters.
-RUN, WINDOW = {False: 8, True: 14}, {False: 10, True: 12}
-#: Tokens in a passage of the automata.
+#: Tokens in a passage, for words and for Han characters.
 PASSAGE = {False: 5, True: 8}
 #: Least coverage of both texts for the same meeting: about two thirds less what edits of single words take from whole passages.
 COVERAGE = 0.44
-#: Least share of a record's anchors, counted over all of them, that a text must hold to be scanned; two at least where there are more than two.
-SHARED = 0.03
+#: Passages between two matched ones that may count as edited, so that matched ones are at least 1 / (BRIDGE + 1) of those covered.
+BRIDGE = 3
+#: Tokens of evaluation records in one shard; its automaton takes about 40 bytes for each in every worker.
+SHARD = 2_000_000
 
 SPLIT_NAMES = {"train": "train", "val": "val", "dev": "val", "validation": "val", "valid": "val", "test": "test"}
 
@@ -78,46 +79,22 @@ def is_han(words: list[str]) -> bool:
     return sum(bool(HAN.match(w)) for w in sample) * 2 > len(sample)
 
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+def passages(words: list, size: int) -> list[tuple]:
+    """The consecutive passages of a record; the last one ends with the record, and so may overlap with the one before."""
+    if len(words) <= size:
+        return [tuple(words)]
+    starts = [*range(0, len(words) - size, size), len(words) - size]
+    return [tuple(words[s : s + size]) for s in starts]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def coverage(hits: dict[int, list[int]], n: int, size: int, length: int) -> tuple[float, float]:
+    """(of the record, of the text): shares of passages, and of tokens, matched in order.
 
-
-def anchors(words: list[str], ids: dict[str, int]) -> np.ndarray:
-    """Distinct anchors of a token sequence; one of fewer tokens than a run has one, of all of them."""
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    han = is_han(words)
-    k, w = min(RUN[han], len(words)), WINDOW[han]
-    known = [ids.get(x) for x in words]
-    if None in known:
-        for i, x in enumerate(words):
-            if known[i] is None:
-                known[i] = ids[x] = zlib.crc32(x.encode())
-    codes = mixed(np.array(known, dtype=np.uint64) + np.uint64(1))
-    h = np.zeros(len(codes) - k + 1, dtype=np.uint64)
-    for j in range(k):
-        h = h * _MULTIPLIER + codes[j : j + len(h)]
-    h = mixed(h)
-    if len(h) > w:
-        h = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
-    return np.unique(h).view(np.int64)
-
-
-def coverage(automaton: ahocorasick.Automaton, n: int, size: int, text: str) -> tuple[float, float]:
-    """(of the record, of the text): shares of tokens in passages matched in order.
-
-    automaton: of n passages of so many tokens, each with its number; text: tokens
-    with a space before, between and after. A passage between two matched ones that
-    stand as far apart in the text as in the record counts as edited, not as missing.
+    hits: of each matched passage's number the places of its last token in the text;
+    n passages of so many tokens; length of the text in tokens. A passage between two
+    matched ones that stand as far apart in the text as in the record counts as
+    edited, not as missing.
     """
-    hits: dict[int, list[int]] = {}
-    for end, numbers in automaton.iter(text):
-        for i in numbers:
-            hits.setdefault(i, []).append(end)
     if not hits or not n:
         return 0.0, 0.0
     # Longest chain with both passage number and place increasing.
@@ -138,62 +115,116 @@ def coverage(automaton: ahocorasick.Automaton, n: int, size: int, text: str) ->
         i, place, at = links[at]
         chain.append((i, place))
     chain.reverse()
-    per_token = len(text) / max(1, text.count(" ") - 1)
     got = len(chain)
     for (i, p), (j, q) in zip(chain, chain[1:]):
-        if 1 < j - i <= 4 and abs((q - p) / per_token - (j - i) * size) <= 3 + 2 * (j - i):
+        if 1 < j - i <= BRIDGE + 1 and abs(q - p - (j - i) * size) <= 3 + 2 * (j - i):
             got += j - i - 1
-    of_text = min(1.0, got * size * per_token / len(text))
-    return got / n, of_text
-
-
-def passages(words: list[str], size: int) -> tuple[ahocorasick.Automaton, int]:
-    """Automaton of the consecutive passages of a record, and how many; the last one may be shorter."""
-    numbers: dict[str, list[int]] = {}
-    for n, s in enumerate(range(0, len(words), size)):
-        numbers.setdefault(" " + " ".join(words[s : s + size]) + " ", []).append(n)
-    a = ahocorasick.Automaton()
-    for p, at in numbers.items():
-        a.add_word(p, at)
-    a.make_automaton()
-    return a, -(-len(words) // size)
-
-
-def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows (e, t, record, text) sorted by e: e, t, of_record, of_text."""
-    last, made = None, None
-    for b in batches:
-        out = []
-        for e, t, record, text in b[["e", "t", "record", "text"]].itertuples(index=False, name=None):
-            if e != last:
-                words = record.split()
-                size = PASSAGE[is_han(words)]
-                last, made = e, (*passages(words, size), size)
-            out.append((e, t, *coverage(*made, f" {text} ")))
-        yield pd.DataFrame(out, columns=["e", "t", "of_record", "of_text"])
-
-
-def overlapping_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(e, t, of_record, of_text) for class pairs of an evaluation and a training class; classes: cls, in_eval, in_train, anchors, size; texts: cls, words.
-
-    Texts are fetched for candidates only; of all others only anchors move.
+    return got / n, min(1.0, got * size / length)
+
+
+class Shard:
+    """The automaton of the passages of some evaluation records: (class, token codes, whether Han) each."""
+
+    def __init__(self, records: list[tuple[int, np.ndarray, bool]]):
+        self.classes = [c for c, _, _ in records]
+        self.size = np.array([PASSAGE[han] for _, _, han in records], dtype=np.int64)
+        self.n = np.empty(len(records), dtype=np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        owner: list[int] = []
+        which: list[int] = []
+        number: list[int] = []
+        for r, (_, codes, han) in enumerate(records):
+            parts = passages(codes.tolist(), PASSAGE[han])
+            self.n[r] = len(parts)
+            for k, p in enumerate(parts):
+                which.append(w := self.automaton.get(p, -1))
+                if w < 0:
+                    which[-1] = w = len(self.automaton)
+                    self.automaton.add_word(p, w)
+                owner.append(r)
+                number.append(k)
+        self.automaton.make_automaton()
+        # Owners and numbers of each distinct passage, one after the other.
+        order = np.argsort(which, kind="stable")
+        self.owner = np.array(owner, dtype=np.int32)[order]
+        self.number = np.array(number, dtype=np.int32)[order]
+        self.first = np.searchsorted(np.array(which, dtype=np.int64)[order], np.arange(len(self.automaton) + 1))
+
+    def scan(self, codes: list[int]) -> Iterator[tuple[int, float, float]]:
+        """(class, coverage of the record, coverage of the text) of the records for which both can reach COVERAGE."""
+        found = list(self.automaton.iter(tuple(codes)))
+        if not found:
+            return
+        ends, which = np.array(found, dtype=np.int64).T
+        distinct = np.unique(which)
+        low, n = self.first[distinct], self.first[distinct + 1] - self.first[distinct]
+        each = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[each], minlength=len(self.n))
+        # Exact necessary conditions: every matched passage bridges BRIDGE others at most.
+        most = shared * (BRIDGE + 1)
+        likely = np.flatnonzero((most >= COVERAGE * self.n) & (most * self.size >= COVERAGE * len(codes)) & (self.n * self.size >= COVERAGE * len(codes)))
+        if not len(likely):
+            return
+        wanted = np.zeros(len(self.n), dtype=bool)
+        wanted[likely] = True
+        hits: dict[int, dict[int, list[int]]] = {int(r): {} for r in likely}
+        for end, w in zip(ends.tolist(), which.tolist()):
+            a, z = self.first[w], self.first[w + 1]
+            for k in a + np.flatnonzero(wanted[self.owner[a:z]]):
+                hits[int(self.owner[k])].setdefault(int(self.number[k]), []).append(end)
+        for r, own in hits.items():
+            yield self.classes[r], *coverage(own, int(self.n[r]), int(self.size[r]), len(codes))
+
+
+_made: dict[str, Shard] = {}
+
+
+def shard_of(name: str, records: Callable[[], list[tuple[int, bytes, bool]]]) -> Shard:
+    """Built once per worker, which keeps the last one."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = Shard([(c, np.frombuffer(x, dtype=np.int32), han) for c, x, han in records()])
+    return _made[name]
+
+
+def overlapping_classes(classes: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(e, t, coverage) for pairs of an evaluation and another, a training class; classes: c, in_eval, in_train, han, codes.
+
+    Evaluation classes pass the driver in shards of bounded volume, one at a time; the
+    training classes are only scanned, never moved. Hits are written before the next
+    shard is made, so neither driver nor workers hold more than one.
     """
-    m = F.size("anchors")
-    least = F.greatest(F.lit(1), F.least(F.lit(2), m - 1), F.ceil(m * SHARED).cast("int"))
-    held = classes.filter("in_eval").select(F.col("cls").alias("e"), F.col("size").alias("own"), least.alias("least"), F.explode("anchors").alias("a"))
-    stock = classes.filter("in_train").select(F.col("cls").alias("t"), "size", F.explode("anchors").alias("a"))
-    # Exact necessary condition for COVERAGE of the text: a record has no more matched tokens than its passages hold.
-    fits = F.col("size") * COVERAGE <= F.col("own") + max(PASSAGE.values())
-    pairs = held.join(stock, "a").filter((F.col("e") != F.col("t")) & fits).groupBy("e", "t", "least").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= least")
-    pairs = durable(pairs.select("e", "t"), "pairs")
-    needed = pairs.select(F.col("e").alias("cls")).union(pairs.select("t")).distinct()
-    fetched = durable(texts.join(needed, "cls").dropDuplicates(["cls"]), "texts")
-    rows = pairs.join(fetched.select(F.col("cls").alias("e"), F.col("words").alias("record")), "e").join(fetched.select(F.col("cls").alias("t"), F.col("words").alias("text")), "t")
-    return rows.repartition("e").sortWithinPartitions("e").mapInPandas(scanned, "e long, t long, of_record double, of_text double")
+    spark = classes.sparkSession
+    texts = classes.filter("in_train").select(F.col("c").alias("t"), "codes")
+    out: list[DataFrame] = []
+
+    def run(records: list[tuple[int, bytes, bool]], number: str) -> None:
+        shared = spark.sparkContext.broadcast(records)
+
+        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            made = shard_of(number, lambda: shared.value)
+            for b in batches:
+                rows = [(e, t, min(a, z)) for t, x in zip(b["t"], b["codes"]) for e, a, z in made.scan(np.frombuffer(x, dtype=np.int32).tolist()) if e != t]
+                yield pd.DataFrame([r for r in rows if r[2] >= COVERAGE], columns=["e", "t", "coverage"])
+
+        out.append(durable(texts.mapInPandas(kernel, "e long, t long, coverage double"), "hits"))
+        shared.destroy()
+
+    block: list[tuple[int, bytes, bool]] = []
+    size = 0
+    for r in classes.filter("in_eval").select("c", "codes", "han").toLocalIterator():
+        block.append((r["c"], bytes(r["codes"]), r["han"]))
+        size += len(r["codes"]) // 4
+        if size >= shard:
+            run(block, uuid.uuid4().hex)
+            block, size = [], 0
+    if block or not out:
+        run(block, uuid.uuid4().hex)
+    return reduce(DataFrame.unionByName, out)
 
 
 def normalised(meetings: DataFrame) -> DataFrame:
-    """(row_id, split, source, cls, words, size, anchors), one row per stored row with row_id and a known split; meetings without words are left out."""
+    """(row_id, split, source, cls, han, codes), one row per stored row with row_id and a known split; meetings without words are left out. codes: 31 bits of a checksum of each token, as bytes."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: dict[str, int] = {}
@@ -202,48 +233,58 @@ def normalised(meetings: DataFrame) -> DataFrame:
             for row, split, source, texts in zip(b["row_id"], b["split"], b["source"], b["texts"]):
                 words = tokens(list(texts) if texts is not None else [])
                 if words:
-                    joined = " ".join(words)
-                    out.append((row, split, source, blake2b(joined.encode(), digest_size=16).digest(), joined, len(words), anchors(words, ids)))
+                    known = [ids.get(x) for x in words]
+                    if None in known:
+                        for i, x in enumerate(words):
+                            if known[i] is None:
+                                known[i] = ids[x] = zlib.crc32(x.encode()) & 0x7FFFFFFF
+                    cls = blake2b(" ".join(words).encode(), digest_size=16).digest()
+                    out.append((row, split, source, cls, is_han(words), np.array(known, dtype=np.int32).tobytes()))
             if len(ids) > 2_000_000:
                 ids.clear()
             if out:
-                yield pd.DataFrame(out, columns=["row_id", "split", "source", "cls", "words", "size", "anchors"])
+                yield pd.DataFrame(out, columns=["row_id", "split", "source", "cls", "han", "codes"])
 
     rows = meetings.select(F.col("row_id").cast("long"), split_name().alias("split"), "source", F.transform("utterances", lambda u: u["text"]).alias("texts"))
-    return rows.filter("row_id is not null and split is not null").mapInPandas(kernel, "row_id long, split string, source string, cls binary, words string, size int, anchors array<long>")
+    return rows.filter("row_id is not null and split is not null").mapInPandas(kernel, "row_id long, split string, source string, cls binary, han boolean, codes binary")
+
 
+def overlaps(meetings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes (e, t, coverage), and their members (c, row_id, split, source): a class is called by its smallest row.
 
-def find_overlaps(meetings: DataFrame) -> DataFrame:
+    Each row is in one class, whatever number of copies it has, and copies are not
+    expanded. Of rows that share a row_id, taken for repeats, one is kept.
+    """
+    rows = durable(normalised(meetings), "meetings")
+    narrow = rows.groupBy("row_id").agg(F.min(F.struct("cls", "split", "source")).alias("x")).select("row_id", "x.*")
+    sides = durable(narrow.groupBy("cls").agg(F.min("row_id").alias("c"), F.max(F.col("split") != "train").alias("in_eval"), F.max(F.col("split") == "train").alias("in_train")), "sides")
+    first = rows.select(F.col("row_id").alias("c"), F.col("cls").alias("own"), "han", "codes")
+    classes = durable(sides.join(first, "c").filter(F.col("cls") == F.col("own")).dropDuplicates(["c"]).select("c", "in_eval", "in_train", "han", "codes"), "classes")
+    same = sides.filter("in_eval and in_train").select(F.col("c").alias("e"), F.col("c").alias("t"), F.lit(1.0).alias("coverage"))
+    pairs = durable(overlapping_classes(classes, shard).unionByName(same), "pairs")
+    return pairs, durable(narrow.join(sides.select("cls", "c"), "cls").drop("cls"), "members")
+
+
+def find_overlaps(meetings: DataFrame, shard: int = SHARD) -> DataFrame:
     """(row_id_a, row_id_b, split, source, coverage): each pair of a train row and a val or test row that hold the same meeting.
 
     row_id_a is the smaller; split and source are those of the evaluation row. Rows of
-    equal words overlap wholly. Every stored row counts; rows that share a row_id are
-    taken for repeats of one another and give a pair once.
+    equal words overlap wholly. Every stored row counts; this is overlaps() with the
+    members of both classes put in their place, as large as there are pairs of rows.
     """
-    rows = durable(normalised(meetings), "meetings")
-    narrow = rows.select("row_id", "split", "source", "cls")
-    sides = narrow.groupBy("cls").agg(F.min("row_id").alias("c"), F.max((F.col("split") != "train").cast("int")).alias("e"), F.max((F.col("split") == "train").cast("int")).alias("t"))
-    sides = durable(sides, "sides")  # from here on a class is called by its smallest row, a number
-    first = rows.select(F.col("row_id").alias("c"), F.col("cls").alias("own"), "size", "anchors")
-    classes = sides.join(first, "c").filter(F.col("cls") == F.col("own")).dropDuplicates(["c"])
-    classes = durable(classes.select(F.col("c").alias("cls"), (F.col("e") == 1).alias("in_eval"), (F.col("t") == 1).alias("in_train"), "size", "anchors"), "classes")
-    texts = rows.select(F.col("row_id").alias("cls"), "words")
-    near = overlapping_classes(classes, texts).withColumn("coverage", F.least("of_record", "of_text")).filter(F.col("coverage") >= COVERAGE).select("e", "t", "coverage")
-    same = sides.filter("e = 1 and t = 1").select(F.col("c").alias("e"), F.col("c").alias("t"), F.lit(1.0).alias("coverage"))
-    both = near.unionByName(same)
-    member = narrow.join(sides.select("cls", "c"), "cls").drop("cls")
-    held = member.filter("split <> 'train'").select(F.col("c").alias("e"), F.col("row_id").alias("i"), "split", "source")
-    train = member.filter("split = 'train'").select(F.col("c").alias("t"), F.col("row_id").alias("j"))
-    pairs = both.join(held, "e").join(train, "t").filter("i <> j")
-    return pairs.select(F.least("i", "j").alias("row_id_a"), F.greatest("i", "j").alias("row_id_b"), "split", "source", "coverage").dropDuplicates(["row_id_a", "row_id_b"])
+    pairs, members = overlaps(meetings, shard)
+    held = members.filter("split <> 'train'").select(F.col("c").alias("e"), F.col("row_id").alias("i"), "split", "source")
+    train = members.filter("split = 'train'").select(F.col("c").alias("t"), F.col("row_id").alias("j"))
+    return pairs.join(held, "e").join(train, "t").select(F.least("i", "j").alias("row_id_a"), F.greatest("i", "j").alias("row_id_b"), "split", "source", "coverage")
 
 
 def overlap_report(meetings: DataFrame) -> DataFrame:
-    """(split, source, rows, overlapping, pairs): per split and source of the evaluation rows."""
-    found = find_overlaps(meetings)
-    ids = meetings.select("row_id", split_name().alias("split"), "source").filter("split in ('val', 'test')")
-    total = ids.groupBy("split", "source").agg(F.count(F.lit(1)).alias("rows"))
-    each = found.select("split", "source", F.col("row_id_a"), F.col("row_id_b"))
-    pairs = each.groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"))
-    hit = each.select("row_id_a").union(each.select("row_id_b")).distinct().withColumnRenamed("row_id_a", "row_id").join(ids, "row_id").groupBy("split", "source").agg(F.countDistinct("row_id").alias("overlapping"))
-    return total.join(hit, ["split", "source"], "left").join(pairs, ["split", "source"], "left").fillna(0, ["overlapping", "pairs"])
+    """(split, source, rows, overlapping, pairs): per split and source of the evaluation rows. Pairs are counted from the sizes of the classes, not expanded."""
+    pairs, members = overlaps(meetings)
+    train = members.filter("split = 'train'").groupBy(F.col("c").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    partners = pairs.join(train, "t").groupBy(F.col("e").alias("c")).agg(F.sum("n").alias("n"))
+    held = members.filter("split <> 'train'").groupBy("c", "split", "source").agg(F.count(F.lit(1)).alias("own"))
+    hit = held.join(partners, "c").groupBy("split", "source").agg(F.sum("own").alias("overlapping"), F.sum(F.col("own") * F.col("n")).alias("pairs"))
+    total = meetings.select("row_id", split_name().alias("split"), "source").filter("split in ('val', 'test')").groupBy("split", "source").agg(F.count(F.lit(1)).alias("rows"))
+    same = total["split"].eqNullSafe(hit["split"]) & total["source"].eqNullSafe(hit["source"])
+    return total.join(hit, same, "left").select(total["split"], total["source"], "rows", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), F.coalesce("pairs", F.lit(0)).alias("pairs"))

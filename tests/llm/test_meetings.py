@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,12 +147,47 @@ def test_overlaps_with_scattered_changes(spark, rows):
     assert rows(O.find_overlaps(meetings(spark, *data)), "row_id_a", "row_id_b") == sorted(want, key=str)
 
 
+def covered(record, text, size=5):
+    """By a shard of one record."""
+    hits = {}
+    a = O.ahocorasick.Automaton(O.ahocorasick.STORE_ANY, O.ahocorasick.KEY_SEQUENCE)
+    code = {w: i for i, w in enumerate({*record, *text})}
+    parts = O.passages([code[w] for w in record], size)
+    for k, p in enumerate(parts):
+        a.add_word(p, k)
+    a.make_automaton()
+    for end, k in a.iter(tuple(code[w] for w in text)):
+        hits.setdefault(k, []).append(end)
+    return O.coverage(hits, len(parts), size, len(text))
+
+
 def test_coverage_in_order():
     words = [f"a{i}" for i in range(50)]
-    auto, n = O.passages(words, 5)
-    text = lambda ws: " " + " ".join(ws) + " "
-    assert O.coverage(auto, n, 5, text(words)) == (1.0, pytest.approx(1.0, abs=0.05))
-    assert O.coverage(auto, n, 5, text(words[25:] + words[:25]))[0] == pytest.approx(0.5)
+    assert covered(words, words) == (1.0, pytest.approx(1.0, abs=0.05))
+    assert covered(words, words[25:] + words[:25])[0] == pytest.approx(0.5)
     changed = [*words[:12], "zz", *words[13:]]
-    assert O.coverage(auto, n, 5, text(changed))[0] == 1.0
-    assert O.coverage(auto, n, 5, text(["q"] * 9)) == (0.0, 0.0)
+    assert covered(words, changed)[0] == 1.0
+    assert covered(words, ["q"] * 9) == (0.0, 0.0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=40), min_size=1, max_size=6), st.lists(st.integers(0, 6), min_size=1, max_size=60))
+def test_shard_leaves_out_no_pair(records, text):
+    """The scan of a whole shard gives every record whose coverage, measured on its own, reaches the threshold."""
+    shard = O.Shard([(r, np.array(x, dtype=np.int32), False) for r, x in enumerate(records)])
+    got = {c: (a, z) for c, a, z in shard.scan(text)}
+    for r, x in enumerate(records):
+        hits = {}
+        for k, p in enumerate(O.passages(x, 5)):
+            if ends := [i + len(p) - 1 for i in range(len(text) - len(p) + 1) if tuple(text[i : i + len(p)]) == p]:
+                hits[k] = ends
+        want = O.coverage(hits, len(O.passages(x, 5)), 5, len(text))
+        if min(want) >= O.COVERAGE:
+            assert got[r] == want
+
+
+@pytest.mark.parametrize("shard", [1, 500, O.SHARD])
+def test_shards_give_the_same(spark, rows, shard):
+    say = lambda texts: [("s", t) for t in texts]
+    m = meetings(spark, *((2 * i, "test", say(talk(i))) for i in range(6)), *((2 * i + 1, "train", say(talk(i)[2:])) for i in range(6)))
+    assert rows(O.find_overlaps(m, shard), "row_id_a", "row_id_b") == sorted(((2 * i, 2 * i + 1) for i in range(6)), key=lambda r: tuple(map(str, r)))
