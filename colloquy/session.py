@@ -27,10 +27,12 @@ def local_session(name: str = "colloquy", cores: int | str = 8, shuffle_partitio
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. A local one is made only where none is set (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Only a session on one machine (tests) may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="colloquy-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():

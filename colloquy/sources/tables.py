@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes from which a table that comes in fewer splits than there are cores is spread over them.
+#: Bytes from which a local session spreads a table of one file over its cores.
 SPREAD_FROM = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table as it is stored; one small file with one row group, which Spark cannot split, goes to all cores.
+    """The table as it is stored.
 
-    Tables of more files than cores, which is what grows, are never moved.
+    Only a session on one machine (master local[n]) spreads a single file, which Spark
+    may not be able to split, over its cores; on a cluster no table is ever moved.
     """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SPREAD_FROM and df.rdd.getNumPartitions() * 2 <= cores:
-        return df.repartition(cores)
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spark.sparkContext.master.startswith("local[") and os.path.isfile(path) and os.path.getsize(path) >= SPREAD_FROM:
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df
