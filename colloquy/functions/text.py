@@ -68,7 +68,7 @@ def digit_after(c: Column | str, key: str) -> Column:
 
 
 def yes_after(c: Column | str, key: str) -> Column:
-    return F.lower(F.regexp_extract(c, rf"{key}:[\s]*(?i)(YES|NO)", 1)) == "yes"
+    return F.lower(F.regexp_extract(c, rf"(?i){key}:[\s]*(YES|NO)", 1)) == "yes"
 
 
 def judged(answer: Column | str) -> Column:
@@ -80,6 +80,16 @@ def without_thinking(c: Column | str) -> Column:
     return F.regexp_replace(c, "(?s)<think>.*?</think>", "")
 
 
+def pick_hash(*parts: Column | str) -> Column:
+    """MD5 of the parts joined by |: the same on every engine, unlike the engines' own hashes."""
+    return F.md5(F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts)))
+
+
+def pick_number(of: int | Column, *parts: Column | str) -> Column:
+    """A number from 0 to of - 1 fixed by the parts: the first 7 hex digits of their hash, modulo."""
+    return (F.conv(F.substring(pick_hash(*parts), 1, 7), 16, 10).cast("long") % of).cast("int")
+
+
 def title_of(c: Column | str) -> Column:
     """First line that is not blank, without quotes around it."""
     return F.btrim(strip(F.coalesce(F.try_element_at(full_lines(c), F.lit(1)), F.lit(""))), F.lit('"「」'))

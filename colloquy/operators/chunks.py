@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import estimated_tokens
+from colloquy.session import durable
 
 CONTEXT, RESERVE, PROMPT_LIMIT = 4096, 96, 32768
 
@@ -15,7 +16,7 @@ CONTEXT, RESERVE, PROMPT_LIMIT = 4096, 96, 32768
 def map_budget(out_tokens: Column) -> Column:
     """Characters of input for so many tokens of output: three fifths of what is left, 512 to 3500."""
     left = (F.lit(CONTEXT) - out_tokens - RESERVE) * 3
-    return F.greatest(F.lit(512), F.least(F.lit(3500), F.floor(left / 5))).cast("int")
+    return F.when(out_tokens.isNotNull(), F.greatest(F.lit(512), F.least(F.lit(3500), F.floor(left / 5))).cast("int"))
 
 
 def fits(tokens: Column, out_tokens: Column, limit: int = PROMPT_LIMIT) -> Column:
@@ -34,53 +35,70 @@ def windows(df: DataFrame, text: str = "text", size: int = 3500, overlap: int =
 
 def pack(costs: Column, budget: int, between: int = 0) -> Column:
     """Array of group numbers, from 0, for an array of costs: a group is closed when the next item would exceed the budget; an item above it is alone."""
-    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ids"))
+    ends = group_ends(costs, budget, between)
+    first = F.transform(ends, lambda e, i: F.when(i == 0, F.lit(0)).otherwise(ends[i - 1]))
+    return F.when(F.size(ends) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - first[i]))))
+
+
+def group_ends(costs: Column, budget: int, between: int = 0) -> Column:
+    """Array of the numbers of items up to the end of each group. The fold carries ends only, of which there are as many as groups."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ends"))
 
     def step(a: Column, c: Column) -> Column:
         c = c.cast("long")
-        opens = (a["g"] < 0) | (a["used"] + between + c > budget)
-        g = F.when(opens, a["g"] + 1).otherwise(a["g"])
-        return F.struct(g.alias("g"), F.when(opens, c).otherwise(a["used"] + between + c).alias("used"), F.concat(a["ids"], F.array(g)).alias("ids"))
+        closes = (a["n"] > 0) & (a["used"] + between + c > budget)
+        used = F.when(closes | (a["n"] == 0), c).otherwise(a["used"] + between + c)
+        return F.struct((a["n"] + 1).alias("n"), used.alias("used"), F.when(closes, F.concat(a["ends"], F.array(a["n"]))).otherwise(a["ends"]).alias("ends"))
 
-    return F.aggregate(costs, zero, step, lambda a: a["ids"])
+    return F.aggregate(costs, zero, step, lambda a: F.when(a["n"] > 0, F.concat(a["ends"], F.array(a["n"]))).otherwise(a["ends"]))
 
 
-def _grouped(items: Column, ids: Column, sep: str) -> Column:
-    zipped = F.arrays_zip(items.alias("x"), ids.alias("g"))
-    last = F.coalesce(F.array_max(ids), F.lit(-1))
-    return F.when(last < 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda g: F.array_join(F.transform(F.filter(zipped, lambda z: z["g"] == g), lambda z: z["x"]), sep)))
+def _slices(items: Column, ends: Column) -> Column:
+    return F.transform(ends, lambda e, i: F.slice(items, F.when(i == 0, F.lit(1)).otherwise(F.get(ends, i - 1) + 1), e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))))
 
 
 def line_chunks(df: DataFrame, text: str = "text", budget: int = 4000, cost: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
-    """df's columns without the text, plus chunk and chunk_text: whole lines packed under a budget of tokens, one more per line."""
-    lines = F.split(text, "\n")
-    cut = df.filter(F.col(text).isNotNull()).withColumn("_lines", lines).withColumn("_ids", pack(F.transform("_lines", lambda x: cost(x) + 1), budget))
-    pieces = F.posexplode(_grouped(F.col("_lines"), F.col("_ids"), "\n")).alias("chunk", "chunk_text")
+    """df's columns without the text, plus chunk and chunk_text: whole lines packed under a budget of tokens, one more per line.
+
+    Costs are measured once per line; groups are slices of the lines, so that the work
+    grows with the lines and not with lines x groups.
+    """
     kept = [c for c in df.columns if c != text]
-    return cut.select(*kept, pieces)
+    cut = df.filter(F.col(text).isNotNull()).withColumn("_lines", F.split(text, "\n"))
+    cut = cut.withColumn("_ends", group_ends(F.transform("_lines", lambda x: cost(x) + 1), budget))
+    return cut.select(*kept, F.posexplode(F.transform(_slices(F.col("_lines"), F.col("_ends")), lambda g: F.array_join(g, "\n"))).alias("chunk", "chunk_text"))
 
 
 def group_partials(partials: Column, budget: int) -> Column:
     """Array of arrays of texts under a budget of characters, 2 between neighbours."""
-    ids = pack(F.transform(partials, lambda p: F.length(p)), budget, 2)
-    zipped = F.arrays_zip(partials.alias("x"), ids.alias("g"))
-    last = F.coalesce(F.array_max(ids), F.lit(-1))
-    return F.when(last < 0, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda g: F.transform(F.filter(zipped, lambda z: z["g"] == g), lambda z: z["x"])))
+    return _slices(partials, group_ends(F.transform(partials, lambda p: F.length(p)), budget, 2))
 
 
-def fold_to_fit(df: DataFrame, partials: str, budget: int, sep: str, reduce_group: Callable[[Column], Column], most_rounds: int = 20) -> DataFrame:
-    """df with partials folded, by a column function from a group to one text, until they fit, one is left, or nothing can be folded.
+def fold_to_fit(df: DataFrame, partials: str, budget: int, sep: str, reduce_group: Callable[[Column], Column] | None = None, most_rounds: int = 20, reduce_rows: Callable[[DataFrame], DataFrame] | None = None, key: str = "id") -> DataFrame:
+    """df with partials folded until they fit, one is left, or nothing can be folded.
 
-    Rounds are bounded; each is one more projection. Groups of one pass unchanged.
+    Either a column function folds a group to one text, or reduce_rows does, which gets
+    (key, place, group: array of texts) of groups of two and more and returns (key,
+    place, text): a call of an external model, made once for each group. Groups of one
+    pass unchanged. Each round is written before the next, so that no round is computed
+    again; rounds are bounded. Null partials stay null.
     """
+    if (reduce_group is None) == (reduce_rows is None):
+        raise ValueError("give either reduce_group or reduce_rows")
     for _ in range(most_rounds):
         x = F.col(partials)
-        fit = (F.size(x) <= 1) | (F.length(F.array_join(x, sep)) <= budget)
-        folded = F.transform(group_partials(x, budget), lambda g: F.when(F.size(g) == 1, g[0]).otherwise(reduce_group(g)))
-        nxt = df.withColumn(partials, F.when(fit, x).otherwise(folded))
-        if df.filter(~fit & (F.size(folded) < F.size(x))).isEmpty():
-            return nxt
-        df = nxt
+        groups = group_partials(x, budget)
+        folds = (F.size(x) > 1) & (F.length(F.array_join(x, sep)) > budget) & (F.size(groups) < F.size(x))
+        if df.filter(folds).isEmpty():
+            return df
+        if reduce_group is not None:
+            df = durable(df.withColumn(partials, F.when(folds, F.transform(groups, lambda g: F.when(F.size(g) == 1, g[0]).otherwise(reduce_group(g)))).otherwise(x)), "fold")
+        else:
+            parts = df.filter(folds).select(key, F.posexplode(groups).alias("place", "group"))
+            made = reduce_rows(parts.filter(F.size("group") > 1)).select(key, "place", "text")
+            alone = parts.filter(F.size("group") == 1).select(key, "place", F.col("group")[0].alias("text"))
+            level = made.unionByName(alone).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda t: t["text"]).alias("_level"))
+            df = durable(df.join(level, key, "left").withColumn(partials, F.coalesce("_level", x)).drop("_level"), "fold")
     return df
 
 

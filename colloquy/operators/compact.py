@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import U, blank, strip
+from colloquy.functions.text import SPACE, blank, strip
 from colloquy.operators.transcript import joined
 
 # Utterances that only acknowledge, fillers, stutters, and the grammar of a line.
@@ -24,11 +24,25 @@ def is_backchannel(text: Column | str, lang: str = "en") -> Column:
     return blank(text) | strip(text).rlike(BACKCHANNEL[lang])
 
 
+def without_stutter(text: Column | str, lang: str = "en") -> Column:
+    return F.regexp_replace(text, STUTTER[lang], "$1")
+
+
+def without_fillers(text: Column | str, lang: str = "en") -> Column:
+    """Fillers go, runs of white space become a space; commas and spaces at the ends go."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, FILLER[lang], ""), SPACE + "{2,}", " "), F.lit(" ,"))
+
+
 def cleaned(text: Column | str, lang: str = "en") -> Column:
-    """Stutters, then fillers, then white space; commas and spaces at the ends go."""
-    t = F.regexp_replace(text, STUTTER[lang], "$1")
-    t = F.regexp_replace(t, FILLER[lang], "")
-    return F.btrim(F.regexp_replace(t, U + r"\s{2,}", " "), F.lit(" ,"))
+    """Stutters, then fillers and white space."""
+    return without_fillers(without_stutter(text, lang), lang)
+
+
+def line_parts(line: Column | str) -> Column:
+    """struct<ts, speaker, said> by the grammar of a line; ts is null, and so are the others, where the line has no mark."""
+    part = lambda i: F.regexp_extract(line, LINE, i)
+    ts = F.nullif(part(1), F.lit(""))
+    return F.struct(ts.alias("ts"), F.nullif(part(2), F.lit("")).alias("speaker"), F.when(ts.isNotNull(), part(3)).alias("said"))
 
 
 def merge_adjacent(lines: DataFrame, key: str, order: str, joiner: str = " ", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -55,9 +69,19 @@ def compact_lines(transcripts: DataFrame, key: str = "row_id", text: str = "tran
     without a mark are kept as they are and end a run. Not idempotent.
     """
     chinese = F.lit(lang == "zh") if isinstance(lang, str) else F.coalesce(lang == "zh-TW", F.lit(False))
-    rows = transcripts.select(key, chinese.alias("zh"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", strip("line")).filter("line <> ''")
-    part = lambda i: F.regexp_extract("line", LINE, i)
-    rows = rows.select(key, "zh", "pos", "line", F.nullif(part(1), F.lit("")).alias("ts"), F.nullif(part(2), F.lit("")).alias("speaker"), part(3).alias("said"))
+    rows = transcripts.select(key, chinese.alias("zh"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return _compacted(rows, key, merge)
+
+
+def compact_rendered(lines: DataFrame, key: str = "row_id", lang: str | Column = "en", merge: bool = True) -> DataFrame:
+    """compact_lines() of rendered lines (key, line_no, line), which are not joined to a text first; they lie together by key already."""
+    chinese = F.lit(lang == "zh") if isinstance(lang, str) else F.coalesce(lang == "zh-TW", F.lit(False))
+    return _compacted(lines.select(key, chinese.alias("zh"), F.col("line_no").alias("pos"), "line"), key, merge)
+
+
+def _compacted(rows: DataFrame, key: str, merge: bool) -> DataFrame:
+    rows = rows.withColumn("line", strip("line")).filter("line <> ''")
+    rows = rows.select(key, "zh", "pos", "line", line_parts("line").alias("p")).select(key, "zh", "pos", "line", "p.*")
     marked = F.col("ts").isNotNull()
     rows = rows.filter(~marked | ~_by_language(F.col("zh"), lambda x: is_backchannel("said", x)))
     rows = rows.withColumn("text", F.when(marked, _by_language(F.col("zh"), lambda x: cleaned("said", x))).otherwise(F.col("line"))).filter("text <> ''")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import blank
@@ -52,11 +52,20 @@ def by_mode(rows: DataFrame) -> DataFrame:
 
 
 def upper_median(value: Column | str) -> Column:
-    """The middle value, the upper one of two."""
+    """The middle value, the upper one of two, of a group that fits one task; for others upper_medians()."""
     got = F.array_sort(F.collect_list(value))
     return F.try_element_at(got, F.floor(F.size(got) / 2).cast("int") + 1)
 
 
+def upper_medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value): upper_median() of groups of any size. Distinct values are counted within partitions first; a group is then as large as its distinct values."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumns({"_upto": upto, "_all": F.sum("_c").over(group)})
+    return placed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias(value))
+
+
 def judge_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, inversions, low) of judged rows; low is a faith of 1 to 3."""
     judged = rows.filter("judge is not null")
@@ -76,8 +85,20 @@ def cost(calls: DataFrame) -> DataFrame:
     return calls.groupBy("meeting", "mode").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"))
 
 
+#: Results that one report document may hold.
+MOST_RESULTS = 100_000
+
+
+def report_lines(agg: DataFrame, results: DataFrame) -> DataFrame:
+    """(part, line): a report of any size, one JSON object per aggregate ("agg") and per result ("results")."""
+    of = lambda df, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("line"))
+    return of(agg, "agg").unionByName(of(results, "results"))
+
+
 def report(agg: DataFrame, results: DataFrame) -> DataFrame:
-    """One row, column report: {"agg": [...], "results": [...]} as JSON. For reports of evaluation size; write corpora as tables."""
+    """One row, column report: {"agg": [...], "results": [...]} as JSON, of evaluations up to MOST_RESULTS results; more are refused, to be written by report_lines()."""
+    if results.limit(MOST_RESULTS + 1).count() > MOST_RESULTS:
+        raise ValueError(f"more than {MOST_RESULTS} results; write them as report_lines()")
     pack = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
     return pack(agg, "agg").crossJoin(pack(results, "results")).select(F.to_json(F.struct("agg", "results")).alias("report"))
 

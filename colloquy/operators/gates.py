@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import blank, full_lines, has_han, has_hangul, has_kana, has_latin, strip, word_count
+from colloquy.functions.text import SPACE, blank, full_lines, has_han, has_hangul, has_kana, has_latin, strip, word_count
 
 # Openings that are no content, the notes format's keys and its unfilled slots.
 PREAMBLE = r"(?Udim)<think>|</think>|^#{1,6}\s|^(here('s| is| are)|sure|okay|certainly|of course)\b|以下是|好的[，,]"
@@ -32,7 +32,7 @@ def lang_ok(lang: Column | str, text: Column | str) -> Column:
 
 def plain_bullets(text: Column | str) -> Column:
     """Bullets at the start of lines become "- "; white space at the ends of lines and of the text goes."""
-    x = F.regexp_replace(text, r"(?Udm)^(\s*)[*•·–]\s+", "$1- ")
+    x = F.regexp_replace(text, rf"(?dm)^({SPACE}*)[*•·–]{SPACE}+", "$1- ")
     return strip(F.regexp_replace(x, r"(?Udm)[ \t]+$", ""))
 
 

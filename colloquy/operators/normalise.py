@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import U, strip
+from colloquy.functions.text import SPACE, U, strip
 from colloquy.operators.curate import split_alias
 
 UTTERANCES = "array<struct<speaker:string,text:string>>"
@@ -30,6 +30,13 @@ def same(c: Column) -> Column:
     return c
 
 
+def converter(table: dict[str, str]) -> Convert:
+    """A script converter from a table of characters, one to one: each character that has an entry is replaced. For tables of phrases pass a vectorised UDF instead."""
+    if any(len(k) != 1 or len(v) != 1 for k, v in table.items()):
+        raise ValueError("one character for one")
+    return lambda c: F.translate(c, "".join(table), "".join(table.values()))
+
+
 def _refs(**known: Column) -> Column:
     return F.struct(*(known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _REFS.items()))
 
@@ -57,8 +64,8 @@ def _none() -> Column:
 def clean_marked(text: Column) -> Column:
     """Annotation markers in braces go, spaces before punctuation go, runs of spaces are one."""
     x = F.regexp_replace(text, r"\{[a-z_]+\}", " ")
-    x = F.regexp_replace(x, U + r"\s+([,.!?;:'])", "$1")
-    return strip(F.regexp_replace(x, U + r"\s{2,}", " "))
+    x = F.regexp_replace(x, SPACE + r"+([,.!?;:'])", "$1")
+    return strip(F.regexp_replace(x, SPACE + r"{2,}", " "))
 
 
 def from_qmsum(raw: DataFrame) -> DataFrame:
@@ -76,7 +83,7 @@ def from_qmsum(raw: DataFrame) -> DataFrame:
 
 def from_meetingbank(raw: DataFrame) -> DataFrame:
     """Flat text cut after sentence ends; no speakers."""
-    parts = F.transform(F.split(strip("transcript"), U + r"(?<=[.!?])\s+"), strip)
+    parts = F.transform(F.split(strip("transcript"), r"(?<=[.!?])" + SPACE + "+"), strip)
     said = F.transform(F.filter(parts, lambda s: s != ""), lambda s: _utterance(F.lit(None), s))
     return _meeting(raw, "meetingbank", "en", F.col("uid"), said, _refs(summary=_empty(F.col("summary"))), _none())
 

@@ -59,10 +59,10 @@ def note_key(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\s\p{Punct}]+", " "))
 
 
-def merge_notes(items: DataFrame, meeting: str = "meeting", order: list[str] | None = None) -> DataFrame:
-    """items of several chunks as one memory: the first of each key in its section, places by time and then order (rank from 1)."""
+def merge_notes(items: DataFrame, meeting: str = "meeting", order: list[str] | None = None, exact: bool = False) -> DataFrame:
+    """items of several chunks as one memory: the first of each key in its section, places by time and then order (rank from 1). exact: the text itself is the key."""
     order = order or ["chunk", "seq"]
-    first = Window.partitionBy(meeting, "section", note_key("text")).orderBy(*order)
+    first = Window.partitionBy(meeting, "section", F.col("text") if exact else note_key("text")).orderBy(*order)
     kept = items.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(meeting, "section").orderBy("at_sec", *order)))
 
@@ -103,18 +103,20 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> Da
     return both.withColumn(value, F.last(F.when(F.col("_side") == 0, F.struct("_v")), ignorenulls=True).over(w)["_v"]).filter("_side = 1").drop("_side", "_v")
 
 
-def evidence(items: DataFrame, lines: DataFrame, meeting: str = "meeting", window: int = 2, most: int = 40) -> DataFrame:
-    """(meeting, line_no, line): the lines that support anchored items.
+def evidence(items: DataFrame, lines: DataFrame, meeting: str = "meeting", window: int = 2, most: int = 40, section: str | None = None) -> DataFrame:
+    """(meeting, line_no, line): the lines that support anchored items; with a column of sections (meeting, section, line_no, line), for each section its own.
 
     lines: meeting, line_no, start_sec (-1 without mark), line, sorted by time. An item
     leads to the last line at or before its time, the first line if there is none, and
-    to the next `window` lines; a meeting's lines are united and its first `most` kept.
+    to the next `window` lines; the lines of a meeting
+    (and section) are united and its first `most` kept.
     """
-    anchored = items.filter("at_sec >= 0").select(meeting, "at_sec").distinct()
+    by = [meeting] + ([section] if section else [])
+    anchored = items.filter("at_sec >= 0").select(*by, "at_sec").distinct()
     starts = lines.groupBy(meeting, F.col("start_sec").alias("at_sec")).agg(F.max("line_no").alias("hit"))
     hit = asof(anchored, starts, meeting, "at_sec", "hit")
     n = lines.groupBy(meeting).agg(F.max("line_no").alias("last_no"))
     first = F.coalesce("hit", F.lit(0))
-    wanted = hit.join(n, meeting).select(meeting, F.explode(F.sequence(first, F.least(first + window, F.greatest(first, F.col("last_no"))))).alias("line_no")).distinct()
-    ranked = wanted.withColumn("_n", F.row_number().over(Window.partitionBy(meeting).orderBy("line_no"))).filter(F.col("_n") <= most)
-    return ranked.drop("_n").join(lines.select(meeting, "line_no", "line"), [meeting, "line_no"])
+    wanted = hit.join(n, meeting).select(*by, F.explode(F.sequence(first, F.least(first + window, F.greatest(first, F.col("last_no"))))).alias("line_no")).distinct()
+    ranked = wanted.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("line_no"))).filter(F.col("_n") <= most)
+    return ranked.drop("_n").join(lines.select(meeting, "line_no", "line"), [meeting, "line_no"]).select(*by, "line_no", "line")

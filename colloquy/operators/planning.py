@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import pick_hash, pick_number
 from colloquy.operators.transcript import has_speakers
 
 # Tasks to draw from, styles, and caps of meetings per source.
@@ -14,14 +15,37 @@ SOURCE_CAPS = {"dialogsum": 1500, "qmsum": 232, "vcsum": 1359, "meetingbank": 80
 TARGET_NAMES = {"en": "English", "zh-TW": "Traditional Chinese (繁體中文)"}
 
 
+#: Columns of the table of prompts: what each task asks in each language, and how many tokens its answer may have. Its rows are settings of the caller, the wording of prompts included.
+PROMPTS = "task string, lang string, system string, template string, max_tokens int"
+
+
+def prompted(rows: DataFrame, prompts: DataFrame, default: int = 384, **slots: Column) -> DataFrame:
+    """rows (task, lang, ...) with system, prompt (the template of their task and language with its {slots} filled, null without one) and max_tokens (of the task where the language has none, else default).
+
+    The table of prompts holds one row per task and language, few enough for Spark to
+    broadcast them by their size.
+    """
+    own = prompts.select("task", "lang", "system", "template", F.col("max_tokens").alias("_own"))
+    caps = prompts.groupBy("task").agg(F.max("max_tokens").alias("_cap"))
+    out = rows.join(own, ["task", "lang"], "left").join(caps, "task", "left")
+    text = F.col("template")
+    for name, value in slots.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return out.withColumns({"prompt": text, "max_tokens": F.coalesce("_own", "_cap", F.lit(default))}).drop("template", "_own", "_cap")
+
+
 def pick(slot: str, options: list[Column], key: Column, seed: int = 0) -> Column:
     """One of the options, repeated ones more likely, fixed by seed, key and slot."""
-    return F.array(*options)[F.pmod(F.xxhash64(F.lit(seed), key, F.lit(slot)), F.lit(len(options))).cast("int")]
+    return F.array(*options)[pick_number(len(options), F.lit(seed), key, F.lit(slot))]
 
 
 def variant_key(variant: Column) -> Column:
-    """single| and the variant as JSON with sorted keys, nulls written."""
-    return F.concat(F.lit("single|"), F.to_json(F.struct(*(variant[k].alias(k) for k in ("kind", "spk", "style", "task", "tgt", "zh_instr"))), {"ignoreNullFields": "false"}))
+    """single| and the variant as JSON: the keys that its kind has, sorted, with ", " and ": " between; a target that is not set is null."""
+    text = lambda k: F.concat(F.lit(f'"{k}": "'), variant[k], F.lit('"'))
+    summary = variant["kind"] == "summarize"
+    parts = [text("kind"), text("spk"), F.when(summary, text("style")), F.when(variant["kind"] == "insight", text("task"))]
+    parts += [F.coalesce(text("tgt"), F.lit('"tgt": null')), F.when(summary, F.concat(F.lit('"zh_instr": '), variant["zh_instr"].cast("string")))]
+    return F.concat(F.lit("single|{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
 def plan_variants(meetings: DataFrame, key: str = "id", seed: int = 0) -> DataFrame:
@@ -37,7 +61,7 @@ def plan_variants(meetings: DataFrame, key: str = "id", seed: int = 0) -> DataFr
         st = pick(slot + "/style", [F.lit(s) for s in STYLES], k, seed) if style else none
         return F.struct(F.lit(kind).alias("kind"), spk.alias("spk"), st.alias("style"), task.alias("task"), to.alias("tgt"), zh.alias("zh_instr"))
 
-    tasks = F.slice(F.array_sort(F.transform(F.array(*map(F.lit, INSIGHTS)), lambda t: F.struct(F.xxhash64(F.lit(seed), k, t).alias("h"), t.alias("t")))), 1, 4)
+    tasks = F.slice(F.array_sort(F.transform(F.array(*map(F.lit, INSIGHTS)), lambda t: F.struct(pick_hash(F.lit(seed), k, t).alias("h"), t.alias("t")))), 1, 4)
     plan = [variant("s1", "summarize", [none], True), variant("s2", "summarize", [none, cross, cross], True), variant("a", "actions", [none, none, cross])]
     plan += [variant(f"i{i}", "insight", [none, none, cross], task=tasks[i]["t"]) for i in range(4)]
     plan += [variant("n1", "notes", [none]), variant("n2", "notes", [none, cross])]
@@ -47,7 +71,7 @@ def plan_variants(meetings: DataFrame, key: str = "id", seed: int = 0) -> DataFr
 
 def untagged(variant_key_col: Column | str, speakers: Column, share: float = 0.3, seed: int = 0) -> Column:
     """Whether the transcript loses its tags: a share of the variants without speakers."""
-    return ~speakers & (F.pmod(F.xxhash64(F.lit(seed), variant_key_col), F.lit(1000)) < int(share * 1000))
+    return ~speakers & (pick_number(1000, F.lit(seed), variant_key_col) < int(share * 1000))
 
 
 def language_clause(target: Column | str, auto: str, named: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.clock import clock
-from colloquy.functions.text import one_line
+from colloquy.functions.text import one_line, pick_hash
 
 # Characters spoken per second, and names for speakers that are only numbered.
 RATES = {"en": 14.0, "zh-TW": 4.7}
@@ -46,13 +46,14 @@ def label(style: str, key: str = "row_id") -> Column:
     if style == "stags":
         return tag
     pools = F.create_map(*(x for lang, names in NAMES.items() for x in (F.lit(lang), F.array(*map(F.lit, names)))))
-    pool = F.transform(F.array_sort(F.transform(F.try_element_at(pools, F.col("lang")), lambda n: F.struct(F.xxhash64(F.col(key), n).alias("h"), n.alias("n")))), lambda x: x["n"])
+    pool = F.transform(F.array_sort(F.transform(F.try_element_at(pools, F.col("lang")), lambda n: F.struct(pick_hash(F.col(key), n).alias("h"), n.alias("n")))), lambda x: x["n"])
+    # Fixed value: how speakers are called that are only numbered.
     numbered = F.col("speaker").rlike(r"(?Ui)^(person|speaker|spk|s)[ _]?\d+$")
     return F.when(F.col("speaker").isNotNull(), F.when(numbered, F.coalesce(F.try_element_at(pool, F.col("rank")), tag)).otherwise(F.col("speaker")))
 
 
-def render_lines(meetings: DataFrame, style: str = "stags", pause: float = PAUSE, key: str = "row_id") -> DataFrame:
-    """(key, line_no, start_sec, label, text, line): the transcript's lines, from 0; utterances without text have none.
+def render_lines(meetings: DataFrame, style: str = "stags", pause: float = PAUSE, key: str = "row_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, line_no, start_sec, label, text, line, and keep: lang if wanted): the transcript's lines, from 0; utterances without text have none.
 
     A line starts after what was said before it at the language's rate plus a pause
     per line: an exclusive running sum, in whole microseconds so that it is exact.
@@ -64,15 +65,16 @@ def render_lines(meetings: DataFrame, style: str = "stags", pause: float = PAUSE
     spent = F.floor(F.length("text") * 1e6 / F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(RATES["en"])) + F.lit(pause * 1e6))
     order = Window.partitionBy(key).orderBy("pos")
     start = F.coalesce(F.sum(spent).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.select(key, (F.row_number().over(order) - 1).alias("line_no"), F.floor(start / 1e6).cast("int").alias("start_sec"), label(style, key).alias("label"), "text")
+    lines = lines.select(key, (F.row_number().over(order) - 1).alias("line_no"), F.floor(start / 1e6).cast("int").alias("start_sec"), label(style, key).alias("label"), "text", *keep)
     line = F.concat(F.lit("["), clock(F.col("start_sec")), F.lit("] "), F.coalesce(F.concat("label", F.lit(": ")), F.lit("")), F.col("text"))
     return lines.withColumn("line", line)
 
 
-def joined(lines: DataFrame, key: str, order: str, text: str, out: str, sep: str = "\n") -> DataFrame:
+def joined(lines: DataFrame, key: str | list[str], order: str, text: str, out: str, sep: str = "\n") -> DataFrame:
     """(key, out): the texts of each key in order."""
+    key = [key] if isinstance(key, str) else key
     got = F.array_sort(F.collect_list(F.struct(order, text)))
-    return lines.groupBy(key).agg(got.alias("_x")).select(key, F.array_join(F.transform("_x", lambda x: x[text]), sep).alias(out))
+    return lines.groupBy(*key).agg(got.alias("_x")).select(*key, F.array_join(F.transform("_x", lambda x: x[text]), sep).alias(out))
 
 
 def render_transcripts(meetings: DataFrame, style: str = "stags", pause: float = PAUSE, key: str = "row_id") -> DataFrame:
@@ -80,6 +82,7 @@ def render_transcripts(meetings: DataFrame, style: str = "stags", pause: float =
     return joined(render_lines(meetings, style, pause, key), key, "line_no", "line", "transcript")
 
 
+# Fixed value: the mark of a rendered line.
 _STAMPED = r"^\[(\d+:\d{2}(?::\d{2})?)\] "
 
 

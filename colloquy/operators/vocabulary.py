@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,9 +16,13 @@ def corpus_lines(meetings: DataFrame, targets: DataFrame) -> DataFrame:
     return said.unionByName(targets.filter(due == "zh-TW").select(F.col("completion").alias("text"))).filter("text is not null and text <> ''")
 
 
-def corpus_size(lines: DataFrame) -> DataFrame:
-    """(lines, chars), one row."""
-    return lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+def corpus_size(lines: DataFrame, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(lines, chars), one row; with a count of tokens also tokens and chars_per_token."""
+    sums = [F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")]
+    if tokens is None:
+        return lines.agg(*sums)
+    out = lines.withColumn("_n", tokens(F.col("text"))).agg(*sums, F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("tokens"))
+    return out.withColumn("chars_per_token", F.try_divide("chars", "tokens"))
 
 
 def candidates(lines: DataFrame, known: DataFrame, longest: int = 4, least: int = 8) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,6 +27,14 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite", by: str | Non
     (w.partitionBy(by) if by else w).json(path)
 
 
+def write_counted(df: DataFrame, path: str, mode: str = "overwrite", utterances: str = "utterances") -> tuple[int, int]:
+    """write_lines(), and how many rows and utterances were written: counted while the rows pass, not by another scan."""
+    seen = Observation(f"written-{uuid.uuid4().hex}")
+    write_lines(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.greatest(F.size(utterances), F.lit(0)).cast("long")), F.lit(0)).alias("utterances")), path, mode)
+    got = seen.get
+    return got["rows"], got["utterances"]
+
+
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per split; unknown splits go to train."""
     from colloquy.operators.curate import route

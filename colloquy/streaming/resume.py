@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from colloquy.operators.curate import still_to_do
-
 
 def record_stream(spark: SparkSession, folder: str, schema: StructType, per_batch: int = 16) -> DataFrame:
     """A folder of Parquet files as they arrive."""
@@ -17,20 +15,15 @@ def record_stream(spark: SparkSession, folder: str, schema: StructType, per_batc
 
 
 def process_new(records: DataFrame, keys: list[str], out: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], event_time: str | None = None, late: str = "7 days") -> StreamingQuery:
-    """Each batch: rows whose key is not in `out` yet, one per key, go through step and are appended.
+    """Rows whose key has not come before, one per key, go through step and are written, each batch to its own folder out/batch=<n>.
 
-    With event_time, repeats are also held back by state that a watermark bounds.
+    Keys that have been seen are kept in the stream's state beside its checkpoint, so
+    finished work is never read again; with event_time a watermark bounds that state. A
+    batch that is tried again after a failure overwrites its folder.
     """
-    if event_time:
-        records = records.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
-
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        try:
-            df = still_to_do(df, spark.read.parquet(out), keys)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        step(df.dropDuplicates(keys)).write.mode("append").parquet(out)
-
-    return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = records.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys) if event_time else records.dropDuplicates(keys)
+
+    def batch(df: DataFrame, n: int) -> None:
+        step(df).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

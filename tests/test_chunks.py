@@ -66,3 +66,21 @@ def test_fold(spark):
     short = lambda g: F.substring(F.array_join(g, ""), 1, 2)
     got = {r["id"]: r["p"] for r in C.fold_to_fit(df, "p", 10, "\n\n", short).collect()}
     assert got == {1: ["aa", "cccc"], 2: ["x"], 3: []}
+
+
+def test_fold_by_calls_made_once_for_each_group(spark):
+    """An outside model folds; what it is asked and how often is the same as in a loop on one machine."""
+    df = spark.createDataFrame([(1, ["aaaa", "bbbb", "cccc", "dddd", "eeee"]), (2, ["x"]), (3, []), (4, None), (5, ["p" * 9, "q" * 9])], "id int, p array<string>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(groups):
+        @F.udf("string")
+        def one(g):
+            calls.add(1)
+            return "".join(x[0] for x in g) + "!"
+
+        return groups.withColumn("text", one.asNondeterministic()("group"))
+
+    got = {r["id"]: r["p"] for r in C.fold_to_fit(df, "p", 10, "\n\n", reduce_rows=model).collect()}
+    # round 1: (aaaa bbbb) (cccc dddd) (eeee); round 2: "ab!" "cd!" fit with 2 between, "eeee" alone: 3 + 2 + 3 + 2 + 4 is above 10
+    assert got == {1: ["ac!", "eeee"], 2: ["x"], 3: [], 4: None, 5: ["p" * 9, "q" * 9]} and calls.value == 3

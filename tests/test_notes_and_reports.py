@@ -72,6 +72,9 @@ def test_reports(spark):
     assert E.report(E.by_length(df), df.limit(1)).first()["report"].startswith('{"agg":[{"bucket":')
     with pytest.raises(ValueError):
         E.cases(df, four, most=2)
+    g = spark.createDataFrame([("a", 3), ("a", 1), ("a", 3), ("b", 7), ("b", None), ("c", 1), ("c", 9)], "k string, x int")
+    assert sorted(tuple(r) for r in E.upper_medians(g, ["k"], "x").collect()) == sorted(tuple(r) for r in g.groupBy("k").agg(E.upper_median("x")).collect())
+    assert [r["part"] for r in E.report_lines(E.by_length(df), df).orderBy("part").collect()] == ["agg"] * 2 + ["results"] * 4
 
 
 @pytest.mark.parametrize("n,bucket", [(0, "short"), (3999, "short"), (4000, "medium"), (11999, "medium"), (12000, "long"), (None, "short")])

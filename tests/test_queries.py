@@ -49,15 +49,15 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_whole_queries_judge_every_target(spark):
+def test_gates_judge_every_target(spark):
     """Completions that are null or hold wide white space are judged too."""
     q, n = core.queries(), spark.read.parquet(f"{FOLDER}/targets.parquet").count()
-    for name in ("map_budgets_whole", "preamble_gate_whole", "plain_bullets_whole", "keep_gate_whole", "format_gate_whole"):
+    for name in ("map_budgets", "preamble_gate", "plain_bullets", "keep_gate", "format_gate"):
         assert q[name](spark, FOLDER).count() == n, name
-    assert q["curate_outcomes_whole"](spark, FOLDER).groupBy().sum("n").first()[0] == n
+    assert q["curate_outcomes"](spark, FOLDER).groupBy().sum("n").first()[0] == n
 
 
 def test_evidence_of_every_line(spark, monkeypatch):
-    monkeypatch.setattr(core.notes, "evidence", lambda items, lines: items)
+    monkeypatch.setattr(core.notes, "evidence", lambda items, lines, **more: items)
     q = core.queries()
     assert q["evidence_lines"](spark, FOLDER).count() == q["transcript_lines"](spark, FOLDER).count()

@@ -8,6 +8,7 @@ from colloquy.functions import tokens as K
 from colloquy.operators import agent as A
 from colloquy.operators import external as X
 from colloquy.operators import normalise as N
+from colloquy.operators import notes as T
 from colloquy.operators import planning as P
 from colloquy.operators import vectors as V
 from colloquy.operators import vocabulary as Y
@@ -84,7 +85,57 @@ def test_agent_modes(spark, rows):
     merged = A.final_notes(both)
     assert rows(merged.filter("section = 'TOPICS'"), "meeting", "text") == [(1, "alpha"), (1, "beta"), (2, "gamma")]
     assert rows(A.over_cap(merged, {"TOPICS": 1})) == [(1, "TOPICS", "- alpha\n- beta")]
-    assert rows(A.running_notes(chunks, "run {state}{chunk};", make)) == [(1, 2, "alpha;beta;"), (2, 1, "gamma;")]
+
+
+def test_running_notes_carry_the_merged_state(spark, rows):
+    """Every chunk's items stay; each prompt holds the notes so far; items come with their chunk, exact repeats of a chunk once, ordered by the mark that ends them."""
+    prompts = spark.sparkContext.accumulator(0)
+
+    def make():
+        def client(row):
+            assert ("Notes so far" in row["prompt"]) == ("beta" in row["prompt"].split("\n\n")[-1]), row["prompt"]
+            prompts.add(1)
+            word = row["prompt"].split()[-1]
+            return f"<think>x</think>DECISIONS:\n- do {word}\n- do {word}\nTOPICS:\n- shared [c0]\n-"
+
+        return client
+
+    chunks = spark.createDataFrame([(1, 1, "beta"), (1, 0, "alpha"), (2, 0, None)], "meeting int, chunk int, chunk_text string")
+    got = {r["meeting"]: (r["calls"], r["notes"]) for r in A.running_notes(chunks, "sum up {chunk}", make).collect()}
+    assert got[1] == (2, "SUMMARY:\n-\nDECISIONS:\n- do alpha [c0]\n- do beta [c1]\nACTIONS:\n-\nOPEN:\n-\nTOPICS:\n- shared [c0]\n- shared [c0] [c1]")
+    assert got[2][0] == 1 and prompts.value == 3
+
+
+def test_parsed_reads_as_note_items_do(spark):
+    texts = ["- a\nSUMMARY:\n- one [1:05]\n-\nFOO:\n- under\nTOPICS：\n- two\n* no", "<think>\n- no\n</think>plain words that go on for long\nshort", "", "OPEN:\nx", "TOPICS:", "- -\n-  x "]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, notes string")
+    want = {}
+    for r in T.note_items(df, ["k"], "notes", lenient=True).orderBy("k", "seq").collect():
+        want.setdefault(r["k"], {}).setdefault(r["section"], []).append(r["text"])
+    assert want == {k: {s: x for s, x in A.parsed(t).items() if x} for k, t in enumerate(texts) if any(A.parsed(t).values())}
+    assert A.merged({"OPEN": ["b [0:09]", "a"]}, {"OPEN": ["a", "c [0:05]"]})["OPEN"] == ["a", "c [0:05]", "b [0:09]"]
+
+
+def test_reread_asks_for_merged_decisions_first(spark):
+    rows = [(1, "ACTIONS", 0, 0, "act", -1), (1, "DECISIONS", 1, 0, "late", 50), (1, "DECISIONS", 0, 1, "early", 5), (1, "DECISIONS", 1, 1, "early", 70), (2, "ACTIONS", 0, 0, "alone", 1), (3, "TOPICS", 0, 0, "t", 1)]
+    items = spark.createDataFrame(rows, "meeting int, section string, chunk int, seq int, text string, at_sec int")
+    chunks = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (3, 1)], "meeting int, chunk int")
+    got = {r["meeting"]: (r["items"], r["n"]) for r in A.contested(items, chunks).collect()}
+    assert got == {1: ("- early [c0]\n- late [c1]\n- act [c0]", 2)}
+
+
+def test_compression_sees_the_evidence_of_its_section(spark, rows):
+    items = spark.createDataFrame([(1, "OPEN", i, f"o{i}", i * 10) for i in range(3)] + [(1, "TOPICS", 0, "t0", 40), (1, "TOPICS", 1, "t1", -1), (2, "OPEN", 0, "x", -1)], "meeting int, section string, seq int, text string, at_sec int")
+    merged = T.merge_notes(items, order=["seq"])
+    lines = spark.createDataFrame([(1, i, i * 10, f"l{i}") for i in range(8)], "meeting int, line_no int, start_sec int, line string")
+    got = {r["section"]: (r["items"], r["evidence"]) for r in A.to_compress(merged, lines, {"OPEN": 2, "TOPICS": 1}).collect()}
+    assert got == {"OPEN": ("- o0\n- o1\n- o2", "l0\nl1\nl2\nl3\nl4"), "TOPICS": ("- t1\n- t0", "l4\nl5\nl6")}
+
+    def make():
+        return lambda row: "- short\n - also \nno" if row["section"] == "OPEN" else "nothing"
+
+    out = rows(A.compressed(merged, lines, {"OPEN": 2, "TOPICS": 1}, "{section} {n} {items} {evidence}", make), "meeting", "section", "rank", "text")
+    assert out == [(1, "OPEN", 1, "short"), (1, "OPEN", 2, "also"), (1, "TOPICS", 1, "t1"), (2, "OPEN", 1, "x")]
 
 
 def test_exact_tokens(spark):
@@ -100,6 +151,23 @@ def test_exact_tokens(spark):
     assert df.select(K.first_tokens("t", 2).alias("c")).first()["c"] == "hello hello"
 
 
+def test_counts_of_what_is_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "id int, utterances array<string>")
+    assert J.write_counted(df, str(tmp_path / "x")) == (3, 2) and J.json_lines(spark, str(tmp_path / "x"), df.schema).count() == 3
+    assert J.write_counted(df.limit(0), str(tmp_path / "y")) == (0, 0)
+
+
+def test_converter_changes_characters(spark):
+    to = N.converter({"会": "會", "议": "議"})
+    assert spark.createDataFrame([("会议x",)], "t string").select(to(F.col("t")).alias("y")).first()["y"] == "會議x"
+
+
+def test_prompts_by_task_and_language(spark, rows):
+    prompts = spark.createDataFrame([("notes", "en", "s", "Notes of {text}", 640), ("notes", "zh-TW", "s", "筆記 {text}", None)], P.PROMPTS)
+    work = spark.createDataFrame([(1, "notes", "en", "x"), (2, "notes", "zh-TW", "y"), (3, "other", "en", "z")], "id int, task string, lang string, text string")
+    assert rows(P.prompted(work, prompts, text=F.col("text")), "id", "prompt", "max_tokens") == [(1, "Notes of x", 640), (2, "筆記 y", 640), (3, None, 384)]
+
+
 def test_follow_ups(spark, rows):
     df = spark.createDataFrame([(1, "summarize", "x" * 1201), (2, "summarize", "y"), (3, "notes", "z"), (4, "summarize", " ")], "target_id int, task string, completion string")
     assert rows(P.follow_ups(df), "target_id", "phase") == [(1, "shrink"), (1, "title"), (2, "title")]

@@ -41,7 +41,7 @@ def test_anchor(spark, item, sec, text):
     assert one(spark, item, C.without_anchor("x")) == text
 
 
-@pytest.mark.parametrize("answer,faith,invert", [("FAITH: 10\nINVERT: yes", 1, True), ("garbage", 0, False), ("COVER: 3 FAITH:4 INVERT: NO", 4, False)])
+@pytest.mark.parametrize("answer,faith,invert", [("FAITH: 10\nINVERT: yes", 1, True), ("garbage", 0, False), ("COVER: 3 FAITH:4 INVERT: NO", 4, False), ("faith: 4\nInvert: Yes", 0, True), ("FAITH: 2 invert:yEs", 2, True)])
 def test_judge_answers(spark, answer, faith, invert):
     j = one(spark, answer, X.judged(F.col("x")))
     assert (j["faith"], j["invert"]) == (faith, invert)
