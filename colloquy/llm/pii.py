@@ -6,8 +6,8 @@ neighbours), everything else scores zero, and dynamic programming picks the best
 set of spans that do not overlap, boundaries and types together. The lattice holds
 every span that has the form of an entity, for names every run of two to four
 capitalised words and every Han surname with one or two characters. The weights
-maximise the likelihood of the labelled sentences below, its normaliser summed over
-the lattice, under a Gaussian prior. A first pass over all documents counts which words stand
+maximise the likelihood of a bounded labelled sample below, its normaliser summed
+over the lattice, under a Gaussian prior about zero. A first pass over all documents counts which words stand
 as given names (which characters in Han names) where the context leaves no doubt.
 """
 
@@ -17,6 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from math import exp, log
 
 import pandas as pd
@@ -121,6 +122,7 @@ _SURNAMES = "王李張劉陳楊黃趙吳周徐孫馬朱胡郭何高林羅鄭梁
 # Only those of the surnames that seldom begin a word of another kind count without a sign after the name.
 # A match is empty and its span is the group: candidates may overlap, decode() chooses.
 _NAME_HAN = re.compile(rf"(?=(?<![一-鿿])([{_SURNAMES}][一-鿿]{{1,2}})(?=[:：])|([{_SURNAMES}][一-鿿]{{2}}))")
+_NAME_HAN_TWO = re.compile(rf"(?=()([{_SURNAMES}][一-鿿])(?:先生|女士|小姐|老師|博士|教授))")
 _HAN_AFTER = re.compile(r"(?:先生|女士|小姐|老師|博士|教授|經理|醫師|律師|議員|說|問|答|表示|認為|進來|離開|補充|發言|提到|同意|反對|寫|念|唸|，|。|、|$|\n|[:：])")
 _HAN_BEFORE = re.compile(r"(?:名字是|名叫|我叫|發言的是|紀錄[:：]|記錄[:：]|主席[:：]|出席[:：]|來賓[:：]|列席[:：]|聯絡人[:：]?|請|等到|感謝|謝謝|根據|依據|據|由|和|跟|與|找|雇用了?|聘請了?|聘了|問|是|在|對|^|\n|[。，、：:\]\)] ?)$")
 _HAN_STRONG = re.compile(r"(?:名字是|名叫|我叫|發言的是|紀錄[:：]|記錄[:：]|來賓[:：]|等到)$")
@@ -161,9 +163,11 @@ def candidates(text: str, lexicon: Lexicon) -> list[Span]:
     for run in _DIGITS.finditer(text):
         if sum(map(run.group().count, "0123456789")) >= 6:
             a, z = max(last, run.start() - 8), run.end() + 16
-            phones += _PHONE.finditer(text, a, z)
-            ids += _ID.finditer(text, a, z)
+            whole = lambda found: [m for m in found if m.end() < z or z >= len(text)]  # noqa: B023, E731  # a match at the cut may be the head of a longer one, found from the next run
+            phones += whole(_PHONE.finditer(text, a, z))
+            ids += whole(_ID.finditer(text, a, z))
             last = run.end()
+    phones, ids = ({m.span(): m for m in found}.values() for found in (phones, ids))  # neighbouring runs may both have found one
     for m in phones:
         before = text[max(0, m.start() - 40) : m.start()]
         digits = sum(ch.isdigit() for ch in m.group())
@@ -216,12 +220,14 @@ def _names(text: str, lexicon: Lexicon) -> list[Span]:
             if _fits(first, last) and lexicon.given.get(first, 0) >= KNOWN and last not in lexicon.given and not _joined(text, m.start()):
                 f = ["name", "name:back", "name:given"] + ["name:family"] * (lexicon.family.get(last.split("-")[-1], 0) >= KNOWN)
                 out.append((m.start(), m.start(2) + len(first), "name", tuple(f)))
-        for m in _NAME_UPPER.finditer(text):
+        at = 0
+        while m := _NAME_UPPER.search(text, at):
+            at = m.start(2)  # the next one may begin with this one's second word
             if lexicon.given.get(m.group(1).title(), 0) >= KNOWN and not _joined(text, m.start()) and m.group(2).split("-")[0].title() not in _NOT:
                 f = ["name", "name:upper", "name:given"] + ["name:family"] * (lexicon.family.get(m.group(2).split("-")[-1].title(), 0) >= KNOWN)
                 out.append((m.start(), m.end(), "name", tuple(f)))
     if not text.isascii():
-        for m in _NAME_HAN.finditer(text):
+        for m in chain(_NAME_HAN.finditer(text), _NAME_HAN_TWO.finditer(text)):
             x = m.group(1) or m.group(2)
             end = m.start() + len(x)
             before, after = text[max(0, m.start() - 5) : m.start()], text[end : end + 3]
@@ -234,17 +240,6 @@ def _names(text: str, lexicon: Lexicon) -> list[Span]:
 
 # ---------------------------------------------------------------- model
 
-PRIORS: dict[str, float] = {
-    "email": 1, "email:sign": 2, "email:words": 0.5, "email:top": 1,
-    "phone": 0.5, "phone:plus": 2, "phone:bracket": 2, "phone:groups": 1.5, "phone:plain": 0.2, "phone:cue": 2, "phone:other_number": -4, "phone:id_cue": -1, "phone:short": -2,
-    "id": -0.5, "id:3-2-4": 2, "id:letters": 0, "id:digits": -1, "id:cue": 2.5, "id:other_number": -4, "id:phone_cue": -2,
-    "phone:spoken": 1, "phone:spoken_cue": 1.5, "phone:spoken_bare": 0, "phone:spoken_few": -2, "id_number:spoken": 1, "id_number:spoken_cue": 1.5, "id_number:spoken_bare": 0, "id_number:spoken_few": 0,
-    "street": 2, "street:number": 1, "street:spoken": 0, "street:han": 2,
-    "name": -2, "name:given": 2, "name:family": 1, "name:initial": 1, "name:hyphen": 0.5, "name:honorific": 2, "name:cue_after": 0.7, "name:cue_before": 0.7, "name:cue_strong": 1.5, "name:goes_on": -5, "name:the": -3, "name:back": 0.2, "name:upper": -0.5, "name:particle": 0.5, "name:between": 0.8, "name:between_unknown": -1,
-    "name:han": -3.5, "name:han_chars": 3, "name:han_label": 0.8, "name:han_two": -0.7, "name:han_title": 2.5, "name:han_after": 0.9, "name:han_before": 0.9, "name:han_strong": 2.5,
-}
-
-
 def decode(spans: list[Span], weights: dict[str, float], longest: int | None = LONGEST) -> list[Span]:
     """The best set of spans that do not overlap, by dynamic programming over their ends. longest: of a span in characters; None takes all."""
     scored = sorted((s for s in spans if longest is None or s[1] - s[0] <= longest), key=lambda s: (s[1], s[0]))
@@ -273,32 +268,64 @@ def decode(spans: list[Span], weights: dict[str, float], longest: int | None = L
     return out[::-1]
 
 
-# Labelled sentences to fit on: entities stand in ⟦type:text⟧.
-LABELLED = (
-    "Send the draft to ⟦email:iris.calder@mail.example⟧ by noon.",
-    "Write ⟦email:tom dot okafor at example dot org⟧ if late.",
-    "Ring ⟦phone:+1 503 555 0148⟧ or ⟦phone:(503) 555-0166⟧ after six.",
-    "The old line, ⟦phone:0800 555 0199⟧, is dead.",
-    "Call ⟦phone:five oh three, five five five, oh one four eight⟧ at night.",
-    "Lot 5512-210-448 arrived with invoice 555-210-44.",
-    "Passport ⟦id_number:C00412345⟧ was shown to ⟦name:Iris Calder⟧.",
-    "Her social security number is ⟦id_number:912-44-1029⟧, he said.",
-    "Section 810-22-15 and Ordinance 19-5550 were read.",
-    "They live at ⟦street_address:1204 Maple Crest Road, Unit 5, Port Lowell⟧ now.",
-    "Traffic on Maple Crest Road grew by 12 percent.",
-    "Dr. ⟦name:Tomas Okafor⟧ asked the Budget Officer about it.",
-    "The Harbor Clerk told ⟦name:Iris B. Calder⟧ that Project Lowell is late.",
-    "Maple Crest Foundation thanked the Port Lowell Library.",
-    "Minutes taken by ⟦name:Anna Voss-Calder⟧.",
-    "In May Tenant Planner and Night Clerk met at Lowell Hall.",
-    "請⟦name:沈書瑜⟧先生說明，電話是⟦phone:02-5550-0111⟧。",
-    "我住在⟦street_address:海棠市長風路二段18號3樓⟧。",
-    "他的身分證字號是⟦id_number:B122334455⟧。",
-    "高架收費表的報價是20萬元，石橋機廠希望3月拿回。",
-    "We waited for ⟦name:Iris Anna Calder⟧ and the clerk.",
-    "Minutes taken by ⟦name:Anna van Okafor⟧ in May.",
-    "The Lowell Iris Anna Trust gave 20 trees to the Harbor School.",
-)
+# The labelled sample: entities stand in ⟦type:text⟧; slots in braces are filled from the lists below, one after the other.
+SENTENCES = (
+    "Send the draft to {email} by noon.", "Write {email} if late.", "Reach {name} at {email} today.", "My address is {email}, not the old one.", "We bought 216 units @ $40 for the hall.", "Meet me at noon dot or not.",
+    "Ring {phone} or {phone} after six.", "The old line, {phone}, is dead.", "Call {spoken} at night.", "Text {phone} please.", "He can be found under {phone}.", "Fax and voice: {phone}", "The count was {counted}, then we stopped.", "The desk is on {spoken}, ask there.",
+    "Lot 5512-210-448 arrived with invoice 555-210-44.", "Serial 4471-430-338 belongs to the lamp.", "The docket is 2025-0613-A and the invoice is 555-613-20.", "Section 810-22-15 and Ordinance 19-5550 were read.", "Item 20412345 and order 0912345678 were sent.", "Version 2.14.208 goes live, see page 415-555-0142.", "Spending reached $637,700, up from $91,300, on 20250613 in all.", "Some 12345678 rows and 987654321 more were read.", "Tram 4412 and 31415926 other things.",
+    "Passport {id} was shown to {name}.", "Her social security number is {id}, he said.", "His licence is {id} and her ID {id}.", "Someone typed {id} into the chat.", "The number {ssn} was read out in the hall.", "Identity card: {id}", "Please enter your tax number, {id}, below.", "Her ID is {idwords}, typed twice.", "Phone B2234455 rang, said no one.",
+    "They live at {street} now.", "Deliver to {street} on Monday.", "Traffic on Maple Crest Road grew by 12 percent.", "The bridge on Quarry Lane has 40 lamps.", "Bring it to {streetwords} today.",
+    "Dr. {name} asked the Budget Officer about it.", "Mr. {name} left.", "Prof. {stranger} wrote the report.", "The Harbor Clerk told {name} that Project Lowell is late.", "{name} said no.", "{name}: I agree with that.", "[0:05] {name}: yes.", "Minutes taken by {name}.", "Minutes taken by {stranger}.", "Thanks to {stranger} and the clerk.", "We waited for {name} and the others.", "We met {name} in May.", "According to {name}, it is late.", "A note from {name} came.", "Please ask {name} or {name} about the lamp.", "The plan was drawn up with {name} last week.", "Guests were {name}, {name} and some others.", "Signed: {back}", "Attending: {back}; {back}.", "We heard {upper} on the tape.", "THEN {upper} LEFT THE ROOM.", "My name is {stranger}, hello.", "The speaker is {stranger}.", "Before {stranger} spoke we had tea.", "As {name} repeat, we go on.", "Was it {name}?", "{name} and the clerk went home.", "The friend of {name} is here.",
+    "The {thing} Trust gave 20 trees to the Harbor School.", "{thing} Foundation thanked the Port Lowell Library.", "In May Tenant Planner and Night Clerk met at Lowell Hall.", "The {thing} is a lamp.", "Project {thing} is late.", "This {thing} cost much.", "They sold a {thing} at the fair.", "{thing} sold out in a day.", "It runs on {thing} and on rain.", "We took the {thing} Road to the sea.", "Bring {thing} from the shed.", "With {thing} the work went on.", "By {thing} we mean the old mill.", "{half} Museum is shut.", "The {half} Project went on.", "{half} Road was dug up.", "The clerk of {half} Hall said so.", "Thanks to {half} Library for the books.",
+    "請{han}先生說明，電話是{phone}。", "我住在{streethan}。", "他的身分證字號是{id}。", "高架收費表的報價是20萬元，石橋機廠希望3月拿回。", "{hanlabel}：同意。", "會議由{han}主持。", "感謝{han}說明。", "名字是{hanstranger}，請記下。", "紀錄：{han}", "{han}說可以。", "我們等到{hanstranger}進來。", "請找{hantwo}小姐。", "從舊倉庫到高架橋的路程不遠，金額很高。", "方案和計畫都已公布，溫室和水表也是。", "任務完成後高度下降，安全第一。", "請打{phone}找{han}。", "連絡{hanstranger}老師。", "周年活動由專案組長負責，時間未定。", "電話是{spokenhan}。", "任何問題，白天再談。", "聽到{han}，大家都笑。", "她是{han}。",
+    "新的訓練教材，下週送到。", "校區恢復，水位也恢復。", "多數人提到山谷專案，少數人提到石門大廳。", "溫度表，金屬殼，都要更換。", "請周末前完成，方向不變。", "老車站，新路線。", "和任務有關的馬路，下月封閉。", "白色的高架橋，黃色的路標。", "江邊平台，林地步道，都開放了。", "費用表、時間表、申請表。", "由安全組說明，與水利組討論。", "問卷結果，向全體公布。",
+    "根據溫室的紀錄，冷氣費下降。", "夜班專員，日班專員，都同意。", "谷倉外面，石階旁邊。", "戶外活動：白天。", "主席：方案通過。", "出席：全體專員。", "在車庫裡，有單車。", "對經費表示意見，對水費表示同意。", "古蹟修復說明，雲端資料說明。", "麥田說不上大，米倉說不上小。", "路邊停車，時常客滿，安全堪慮。", "\n農場報告\n金額報告\n水車報告\n", "是文件夾，不是資料夾。", "找舊鑰匙，找新單據。", "莊園大門、花園小門、車道側門。", "平台上，石頭下。", "計畫表：金額。", "方法論，常識題，都考。", "從江口出發，由山口返回。", "時段太短，段落太長，。", "寧靜區，安靜區，水池區。", "左側門、右側門、成人票。", "樂隊來，班車走。", "談經費，談房租，談水電。",
+)
+_FILL: dict[str, tuple[str, ...]] = {
+    "email": ("email", "iris.calder@mail.example", "tom dot okafor at example dot org", "a_b+c@post.example.org", "lea(at)lowell.example", "tess dot quist at mail dot example dot net", "k-m@x1.example.com"),
+    "phone": ("phone", "+1 503 555 0148", "(503) 555-0166", "0800 555 0199", "415.555.0142", "16175550142", "+44 7700 900142", "02-5550-0111", "0912-345-678", "(02)5550-0187", "503-555-0177 ext. 12", "020 7946 0142"),
+    "spoken": ("phone", "five oh three, five five five, oh one four eight", "two one two, five five five, oh one six five"),
+    "id": ("id_number", "C00412345", "912-44-1029", "B122334455", "DL-004412345", "QX 312 554", "951 12 1126", "90211774", "12-3456789", "D1-2233-4455"),
+    "ssn": ("id_number", "912-44-1029", "951 12 1126"),
+    "idwords": ("id_number", "nine five one, one two, one one two six"),
+    "street": ("street_address", "1204 Maple Crest Road, Unit 5, Port Lowell", "88 Saint Orlan St.", "7B Quarry Lane", "41 North Field Avenue, Lowell"),
+    "streetwords": ("street_address", "twelve Maple Crest Road", "ninety-one Quarry Lane"),
+    "streethan": ("street_address", "海棠市長風路二段18號3樓", "石鏡縣望潮街253號之4", "青田市松徑區白浪大道九號"),
+    "name": ("name", "Iris Calder", "Tomas Okafor", "Iris B. Calder", "Anna Voss-Calder", "Anna Iris Okafor", "Tomas van Calder", "Iris Quist", "Anna Calder"),
+    "stranger": ("name", "Odra Calder", "Belan Quint", "Sef T. Marwick", "Rolf de Wendt"),
+    "back": ("name", "Calder, Iris", "Okafor, Anna", "Quist, Tomas"),
+    "upper": ("name", "IRIS CALDER", "ANNA OKAFOR", "TOMAS QUIST"),
+    "han": ("name", "沈書瑜", "王書瑜", "林瑜書", "謝書瑜"),
+    "hanlabel": ("name", "沈書瑜", "王瑜"),
+    "hanstranger": ("name", "陳冠宏", "李佩芬"),
+    "hantwo": ("name", "王瑜", "林書"),
+    "spokenhan": ("phone", "零二五五五零零一八七",),
+    "thing": ("", "Silver Lantern", "Maple Crest", "Blue Kestrel", "Open Harvest", "Quiet Kiln"),
+    "half": ("", "Iris Calder", "Tomas Lowell", "Anna Crest"),
+    "counted": ("", "one, two, three, four, five, six"),
+}
+#: Most sentences that the model is fitted on: every sentence is filled in until its longest list is used up.
+SAMPLE = 400
+
+
+def labelled(most: int = SAMPLE) -> list[str]:
+    """The sample, slots filled."""
+    out = []
+    for n, sentence in enumerate(SENTENCES):
+        slots = re.findall(r"\{(\w+)\}", sentence)
+        for k in range(max([1, *(len(_FILL[x]) - 1 for x in slots)])):
+            line = sentence
+            for j, x in enumerate(slots):
+                kind, *values = _FILL[x]
+                value = values[(k + j + n) % len(values)]
+                line = line.replace("{" + x + "}", f"⟦{kind}:{value}⟧" if kind else value, 1)
+            out.append(line)
+    return out[:: max(1, -(-len(out) // most))]
+
+
+LABELLED = tuple(labelled())
+#: What the corpus is taken to know while the model is fitted.
+SAMPLE_LEXICON = Lexicon({"Iris": 9, "Tomas": 9, "Anna": 9}, {"Calder": 9, "Okafor": 9}, {"書": 9, "瑜": 9})
 
 
 def parse_labelled(line: str) -> tuple[str, set[tuple[int, str]]]:
@@ -329,30 +356,41 @@ def marginals(spans: list[Span], weights: dict[str, float]) -> tuple[list[float]
     return [score[k] * forward[at[s[0]]] * backward[at[s[1]]] / z for k, s in enumerate(spans)], log(z)
 
 
-#: Steps and rate of the ascent, and the standard deviation of a weight about its prior.
-STEPS, RATE, SPREAD = 60, 0.2, 1.0
+#: Steps and rate of the ascent, and the standard deviation of a weight about zero.
+STEPS, RATE, SPREAD = 400, 1.0, 3.0
+
+
+def aligned(line: str, lexicon: Lexicon) -> tuple[list[Span], list[bool]]:
+    """The lattice of a labelled sentence, and which of its spans are entities, both ends and type right."""
+    text, gold = "", set()
+    at = 0
+    for m in re.finditer(r"⟦(\w+):([^⟧]+)⟧", line):
+        text += line[at : m.start()]
+        gold.add((len(text), len(text) + len(m.group(2)), m.group(1)))
+        text += m.group(2)
+        at = m.end()
+    spans = candidates(text + line[at:], lexicon)
+    return spans, [s[:3] in gold for s in spans]
 
 
 @cache
 def fitted() -> dict[str, float]:
-    """Weights that maximise the likelihood of LABELLED (its sentences are all there is to fit on) under the prior; small, so that every worker may fit its own."""
-    lexicon = Lexicon({"Iris": 9, "Tomas": 9, "Anna": 9}, {"Calder": 9, "Okafor": 9}, {"書": 9, "瑜": 9})
-    data = []
-    for line in LABELLED:
-        text, gold = parse_labelled(line)
-        spans = candidates(text, lexicon)
-        ends = {(len(parse_labelled(line[: m.start()])[0]), m.group(1)): len(m.group(2)) for m in re.finditer(r"⟦(\w+):([^⟧]+)⟧", line)}
-        data.append((spans, [(s[0], s[2]) in gold and s[1] - s[0] == ends[s[0], s[2]] for s in spans]))
-    weights = dict(PRIORS)
+    """Weights that maximise the likelihood of LABELLED under a Gaussian prior about zero: ascent with a step of its own for each weight. Fitted once, by the driver; workers get the weights."""
+    data = [aligned(line, SAMPLE_LEXICON) for line in LABELLED]
+    weights: dict[str, float] = defaultdict(float)
+    size: dict[str, float] = defaultdict(lambda: 1e-6)
     for _ in range(STEPS):
-        slope = {f: (PRIORS.get(f, 0.0) - w) / SPREAD**2 for f, w in weights.items()}
+        slope: dict[str, float] = defaultdict(float)
+        for f, w in weights.items():
+            slope[f] = -w / SPREAD**2
         for spans, gold in data:
             for s, true, p in zip(spans, gold, marginals(spans, weights)[0]):
                 for f in s[3]:
-                    slope[f] = slope.get(f, 0.0) + true - p
+                    slope[f] += true - p
         for f, x in slope.items():
-            weights[f] = weights.get(f, 0.0) + RATE * x
-    return weights
+            size[f] += x * x
+            weights[f] += RATE * x / size[f] ** 0.5
+    return dict(weights)
 
 
 def entities(text: str | None, lexicon: Lexicon, weights: dict[str, float] | None = None) -> list[Span]:
@@ -473,11 +511,11 @@ def find_pii(documents: DataFrame) -> DataFrame:
     Null and empty texts have none; rows without doc_id are left out; a document that
     is stored twice under one id gives its rows once. Texts are read whole.
     """
+    weights = fitted()
     whole, names = learn_lexicon(documents)
     lexicon = documents.sparkSession.sparkContext.broadcast(whole)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = fitted()
         for b in batches:
             rows = [(i, kind, start + 1) for i, t, lex in zip(b["doc_id"], b["text"], lexicons(b, lexicon.value)) for start, _, kind, _ in entities(t, lex, weights)]
             if rows:
@@ -489,11 +527,11 @@ def find_pii(documents: DataFrame) -> DataFrame:
 
 def mask_pii(documents: DataFrame) -> DataFrame:
     """(doc_id, entities, text): every row, its text with entities replaced by [TYPE]; null texts stay null."""
+    weights = fitted()
     whole, names = learn_lexicon(documents)
     lexicon = documents.sparkSession.sparkContext.broadcast(whole)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = fitted()
         for b in batches:
             found = [entities(t, lex, weights) for t, lex in zip(b["text"], lexicons(b, lexicon.value))]
             yield pd.DataFrame({"doc_id": b["doc_id"], "entities": [len(x) for x in found], "text": [masked(t, x) for t, x in zip(b["text"], found)]})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -83,6 +85,73 @@ def test_leaks_recall_and_precision(spark):
     assert L.find_leaks(df.limit(0), it).count() == 0 and L.find_leaks(df, it.limit(0)).count() == 0
 
 
+EDITS = {
+    "two changed, nine apart": lambda p: [*p[:8], "xx", *p[9:17], "yy", *p[18:]],
+    "one added": lambda p: [*p[:13], "xx", *p[13:]],
+    "one dropped": lambda p: [*p[:13], *p[14:]],
+    "one added, one dropped": lambda p: [*p[:9], "xx", *p[9:17], *p[18:]],
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+def test_recall_of_edited_stretches(edit):
+    """Of stretches of 26 words, in other text, at least 0.95 are found after two edits; nothing else is."""
+    rng = random.Random(7)
+    items = [prose(rng, 90) for _ in range(250)]
+    docs = []
+    for i, item in enumerate(items):
+        a = rng.randrange(0, 90 - 26)
+        docs.append((i, " ".join(prose(rng, rng.randrange(40, 60)) + EDITS[edit](item[a : a + 26]) + prose(rng, 40))))
+    index = {False: L.Index(list(enumerate(items)), False)}
+    got = {tuple(r) for b in L.probe(iter([pd.DataFrame(docs, columns=["doc_id", "text"])]), index) for r in b.itertuples(index=False, name=None)}
+    assert len(got) >= 0.95 * len(items) and all(d == i for d, i in got)
+
+
+def brute_edit(item, doc, least, gap, share):
+    """Longest stretch of item tokens by trying every start and every chain of runs with one changed, added or dropped token between."""
+    best = 0
+
+    def go(i, j, start, changed):
+        nonlocal best
+        n = 0
+        while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
+            n += 1
+        if not n:
+            return
+        length = i + n - start
+        if changed <= share * length:
+            best = max(best, length)
+        if n < least and start != i:
+            return
+        for a in range(gap + 1):
+            for b in range(gap + 1):
+                if a or b:
+                    go(i + n + a, j + n + b, start, changed + max(a, b))
+
+    for i in range(len(item)):
+        for j in range(len(doc)):
+            if item[i] == doc[j] and (not i or not j or item[i - 1] != doc[j - 1]):
+                go(i, j, i, 0)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_band_like_brute_force(seed):
+    """With the least lengths taken out of the way the band finds what trying everything finds, if the stretch counts."""
+    rng = random.Random(seed)
+    vocabulary = L.Vocabulary()
+    for _ in range(25):
+        item = [f"t{rng.randrange(10**6)}" for _ in range(40)]
+        doc, k = [], 0
+        while k < len(item):
+            r = rng.random()
+            doc += [] if r < 0.04 else ["new"] if r < 0.08 else [item[k], "more"] if r < 0.12 else [item[k]]
+            k += 1
+        want = brute_edit(item, doc, L.BETWEEN[False], 1, L.SHARE[False])
+        got = L.stretch_in_band(vocabulary.codes(item), vocabulary.codes(doc), 0, np.ones(len(item), dtype=np.int64), False)
+        assert got == want or want < L.LEAST_WORDS and got <= want
+
+
 def test_leaks_in_han_text(spark):
     item = "會議同意在七月三日前重漆東側大廳並請秘書組長回報費用與進度另外由檔案專員整理郊區樣本庫的清單後再行公布結果"
     docs = [(1, f"[0:00] S1: 開場。{item[:44]}。結束"), (2, item[:20] + "完全不同的內容接在後面並且沒有任何關聯可言今天就到這裡"), (3, item.replace("秘書", "行銷")), (4, "無關")]
@@ -107,6 +176,23 @@ def test_slices_keep_all_rows():
     assert [k for s in got for k in s["k"]] == list(range(6)) and len(got) == 2
 
 
+def test_joined_items_give_the_same(spark, monkeypatch):
+    """Items too large for an index are joined on their keys, hot ones salted: same pairs."""
+    rng = random.Random(9)
+    han = "會議同意在七月三日前重漆東側大廳並請秘書組長回報費用與進度另外由檔案專員整理郊區樣本庫的清單後再行公布結果"
+    items = [(i, " ".join(prose(rng, 60))) for i in range(8)] + [(8, han)]
+    docs = [(i, "x " * rng.randrange(9) + items[i % 9][1] + (" y z" if i % 2 else "")) for i in range(60)] + [(90, "short"), (91, items[0][1][:40]), (92, None)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {tuple(r) for r in L.find_leaks(df, it).collect()}
+    assert want == {(i, i % 9) for i in range(60)}
+    monkeypatch.setattr(L, "BLOCK", 10)
+    assert {tuple(r) for r in L.find_leaks(df, it).collect()} == want
+    monkeypatch.setattr(L, "HOT", 3)
+    monkeypatch.setattr(L, "MOST_HOT", 10**9)
+    assert {tuple(r) for r in L.find_leaks(df, it).collect()} == want
+    assert L.find_leaks(df.limit(0), it).count() == 0
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, " ".join(prose(rng, 60))) for i in range(5)]
@@ -188,6 +274,60 @@ def test_held_out_sentences():
     assert not wrong
 
 
+@pytest.mark.parametrize("line", ["We waited for ⟦name:Mira Anna Halvor⟧ and left.", "Dr. ⟦name:Zoë Müller⟧ asked why.", "Minutes taken by ⟦name:José Álvarez⟧.", "Thanks to ⟦name:Anna van der Quist⟧ said Mira.", "Write to ⟦email:ü.mira@post.example.org⟧ now.", "Ring ⟦phone:(303) 555-0109⟧10月"])
+def test_names_of_many_parts_and_accents(line):
+    text, gold = P.parse_labelled(line)
+    lex = P.Lexicon({**LEX.given, "Anna": 5, "José": 5, "Zoë": 5}, LEX.family, LEX.chars)
+    got = P.entities(text, lex)
+    assert {(s, k) for s, _, k, _ in got} == gold
+    assert [text[s:e] for s, e, *_ in got] == [m.split(":", 1)[1] for m in __import__("re").findall(r"⟦([^⟧]+)⟧", line)]
+
+
+def test_marginals_like_enumeration():
+    """The normaliser and the probabilities are sums over all sets of spans that do not overlap."""
+    rng = random.Random(1)
+    for _ in range(30):
+        spans = []
+        for k in range(7):
+            a = rng.randrange(12)
+            spans.append((a, a + rng.randrange(1, 6), "t", (f"f{k}",)))
+        weights = {f"f{k}": rng.uniform(-2, 2) for k in range(7)}
+        total, each = 0.0, [0.0] * 7
+        for mask in range(1 << 7):
+            own = [s for k, s in enumerate(spans) if mask >> k & 1]
+            if any(a is not b and a[0] < b[1] and b[0] < a[1] for a in own for b in own):
+                continue
+            x = math.exp(sum(weights[s[3][0]] for s in own))
+            total += x
+            for k in range(7):
+                each[k] += x * (mask >> k & 1)
+        p, z = P.marginals(spans, weights)
+        assert z == pytest.approx(math.log(total)) and p == pytest.approx([x / total for x in each])
+
+
+def test_the_fit_is_of_the_greatest_likelihood():
+    """At the fitted weights what is seen of each feature is what is expected of it, but for the pull of the prior; zero weights are far less likely."""
+    weights = P.fitted()
+    slope = {f: -w / P.SPREAD**2 for f, w in weights.items()}
+    far = near = 0.0
+    for line in P.LABELLED:
+        spans, gold = P.aligned(line, P.SAMPLE_LEXICON)
+        assert sum(gold) == line.count("⟦"), line
+        p, z = P.marginals(spans, weights)
+        near += sum(sum(weights[f] for f in s[3]) for s, true in zip(spans, gold) if true) - z
+        far -= P.marginals(spans, {})[1]
+        for s, true, x in zip(spans, gold, p):
+            for f in s[3]:
+                slope[f] += true - x
+    assert near > 0.2 * far and max(map(abs, slope.values())) < 0.5
+
+
+def test_long_entities_are_masked():
+    """A span above the default bound of the decoder is found all the same."""
+    long = "a" * 150 + "@mail.example"
+    assert [(s, e) for s, e, *_ in P.entities(f"Write {long} now", LEX)] == [(6, 6 + len(long))]
+
+
 @pytest.mark.parametrize("before", ["感謝", "謝謝", "和", "向", "對方", "請"])
 def test_names_after_a_character_that_is_a_surname_too(before):
     text = f"{before}沈書瑜。"
@@ -197,7 +337,7 @@ def test_names_after_a_character_that_is_a_surname_too(before):
 
 def test_fit_keeps_the_training_sentences():
     weights = P.fitted()
-    lex = P.Lexicon({"Iris": 9, "Tomas": 9, "Anna": 9}, {"Calder": 9, "Okafor": 9}, {"書": 9, "瑜": 9})
+    lex = P.SAMPLE_LEXICON
     for line in P.LABELLED:
         text, gold = P.parse_labelled(line)
         assert {(s, k) for s, _, k, _ in P.decode(P.candidates(text, lex), weights)} == gold, text

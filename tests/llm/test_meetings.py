@@ -94,6 +94,30 @@ def test_best_fit_fills_containers(sizes):
     assert opened <= 1 or opened <= max(-(-sum(sizes) // 20), sum(s > 10 for s in sizes)) * 1.7 + 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_supersteps_pack_as_well_as_one_sweep(spark, seed):
+    """Every rank is placed once, no container is too full, numbers have no holes, and ranges cost no more than a container or two."""
+    rng = random.Random(seed)
+    low, high = [(1, 200), (60, 140), (1, 60)][seed]
+    counts = {}
+    for _ in range(1500):
+        size = rng.randint(low, high)
+        counts[size] = counts.get(size, 0) + 1
+    placed, opened = B.supersteps(spark, counts, 200)
+    used, ranks = {}, {}
+    for size, rank, first, n in placed:
+        ranks.setdefault(size, []).extend(range(rank, rank + n))
+        for k in range(n):
+            used[first + k] = used.get(first + k, 0) + size
+    assert all(sorted(ranks[s]) == list(range(n)) for s, n in counts.items())
+    assert set(used) == set(range(opened)) and max(used.values()) <= 200
+    assert opened <= B.best_fit(counts, 200)[1] + 2
+
+
+def test_no_items_no_supersteps(spark):
+    assert B.supersteps(spark, {}, 100) == ([], 0)
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_place(spark, parts):
     rng = random.Random(1)
@@ -136,6 +160,19 @@ def test_overlaps(spark, rows):
     assert O.find_overlaps(m.limit(0)).count() == 0
 
 
+def test_report_counts_without_expanding(spark, rows):
+    """Classes of many copies: counts are those of the expanded pairs."""
+    say = lambda texts: [("s", t) for t in texts]
+    data = [(i, ("train", "val", "test")[i % 3], say(talk(i % 2))) for i in range(24)]
+    m = meetings(spark, *data, (100, "val", say(talk(9))))
+    found = O.find_overlaps(m).toPandas()
+    want = {s: len(x) for s, x in found.groupby("split")}
+    got = {r["split"]: (r["rows"], r["overlapping"], r["pairs"]) for r in O.overlap_report(m).collect()}
+    assert got == {"val": (9, 8, want["val"]), "test": (8, 8, want["test"])}
+    pairs, members = O.overlaps(m)
+    assert pairs.count() == 2 and members.count() == 25
+
+
 def test_overlaps_with_scattered_changes(spark, rows):
     """Every eleventh word changed: under half of the runs of 8 words stay, so most anchors stand in no train text."""
     say = lambda words: [("s", " ".join(words[i : i + 12]) + ".") for i in range(0, len(words), 12)]

@@ -68,6 +68,32 @@ def test_suffix_automaton(text, item, least):
     assert all(text[at : at + e - s] == item[s:e] for s, e, at in runs)
 
 
+TALK = st.lists(st.sampled_from(["a", "b", "to", "cab", "hall", "王", "會議"]), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TALK, TALK, st.sampled_from([" ", ". ", "\n", "-"]))
+def test_copy_gate_refuses_no_copy(prompt, answer, sep):
+    """The gate before the automaton is implied by what it gates."""
+    p, c = "Transcript:\n" + sep.join(prompt), sep.join(answer)
+    assert D.is_copied(p, c) == D.is_copied(p, c, gate=False)
+
+
+def test_copies_in_short_runs():
+    """Runs of exactly four short words with own words between, and short lines without their marks."""
+    rng = random.Random(4)
+    own = [f"w{i}" for i in range(80)]
+    body = " ".join(own)
+    answer = " ".join(" ".join(own[i : i + 4]) + (f" x{i}" if rng.random() < 0.9 else "") for i in range(0, 80, 4))
+    assert D.is_copied(f"transcript:\n{body}", answer) and D.may_copy(body, D.WORD.findall(answer))
+    lines = [f"[0:{i:02d}] s1: ok then {i}" for i in range(30)]
+    assert D.is_copied("transcript:\n" + "\n".join(lines), "\n".join(x.split("] ")[1] for x in lines))
+
+
+def test_ends_that_are_seldom():
+    assert D.cut_off(0, 100, 0, 0, 0) and D.cut_off(5, 100, 0, 100, 2) and not D.cut_off(5, 100, 0, 30, 2) and not D.cut_off(5, 100, 0, 100, 0) and not D.cut_off(20, 100, 0, 200, 1)
+
+
 FULL = "The Vice Clerk must fund the old bridge after Project Roe closes in May. A plan to map the wall waits until June 3."
 
 
@@ -96,8 +122,8 @@ def test_find_defects(spark, rows):
 
 def test_residue_kinds():
     cases = {
-        "placeholder": ["{{summary}}", "The ${owner} will test it.", "[insert title here]", "負責人:【待補:姓名】", "TODO: add date", "____ (fill in owner)", "決議:○○○", "Title: <YOUR TITLE HERE>", "<會議標題>"],
-        "filler_text": ["Lorem ipsum dolor sit amet.", "- Item 1\n- Item 2\n- Item 3", "測試內容測試內容測試內容", "Sample text sample text sample text.", "This is placeholder copy. Your text goes here.", "- 要點一\n- 要點二"],
+        "placeholder": ["{{summary}}", "The ${owner} will test it.", "[insert title here]", "負責人:【待補:姓名】", "TODO: add date", "____ (fill in owner)", "決議:○○○", "Title: <YOUR TITLE HERE>", "<會議標題>", "專案組長說明<會議標題>的費用。", "【Insert title here】", "【Your name】 will test it."],
+        "filler_text": ["Lorem ipsum dolor sit amet.", "- Item 1\n- Item 2\n- Item 3", "測試內容測試內容測試內容", "Sample text sample text sample text.", "This is placeholder copy. Your text goes here.", "- 要點一\n- 要點二", "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris.", "Excepteur sint occaecat cupidatat non proident, sunt in culpa."],
         "error_page": ["502 Bad Gateway", "<html><head><title>404 Not Found</title></head></html>", '{"error": {"code": 5}}', "系統忙線中,請稍後再試。", "Your session has expired. Please sign in again to continue.", "Traceback (most recent call last):\nTimeoutError: deadline exceeded", FULL + "\nHTTP 429: too many requests."],
         "script_notice": ["Please enable JavaScript to view this page.", "您的瀏覽器已停用指令碼，請開啟後重新整理。", "This site requires JavaScript."],
         None: [FULL, "-", "", None, "A 404 error seen last week on the old site was explained as a cable fault.", "One member asked why the page asks visitors to enable scripts.", "有人問收費表的範本裡為何還有假文字。", "The group laughed at the lorem ipsum left in the mock-up of the hall.", "The clerk will fill in the blanks of the template by hand.", "與會者談到倉庫的網頁上週出現錯誤訊息。"],
@@ -107,6 +133,31 @@ def test_residue_kinds():
             assert R.residue_kind(t) == kind, t
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["【Your name】", "Ut enim ad minim veniam quis nostrud", "the hall was fine", "<會議標題>", "會議在五月", "404 Not Found", "Item 1", "-", "<聽不清>", "enable JavaScript"]), min_size=1, max_size=5), st.sampled_from([". ", "\n", "。"]))
+def test_a_text_holds_what_its_units_hold(parts, sep):
+    """Nothing before the patterns keeps them from a unit: a text with a placeholder, a notice or an error says so."""
+    text = sep.join(parts)
+    kinds = {R.unit_kind(u) for u in R.units(R.bare(text))} - {"filler_text", None}
+    assert not kinds or R.residue_kind(text) in kinds
+
+
+def test_combined_evidence(spark, rows):
+    """Duplicated, mismatched responses of any length are residue if a word hints at a kind or the body says its title again; refusals and foreign answers are not."""
+    page = "Depot unavailable {}\n" + "\n".join("The depot is unavailable" for _ in range(30))
+    again = "Zorvex plimta\n\nzorvex PLIMTA"
+    other = "担当者は次回までに資料をそろえる予定です。予算についてはまだ結論が出ていません。"
+    decline = "I apologize; I have no access to the transcript you mention."
+    own = [(100 * k + i, f"about hall {i}", text.format(i)) for k, text in enumerate((page, again, other, decline)) for i in range(6)]
+    few = [(1000 + i, "p", again + " q") for i in range(3)]
+    kept = [(2000 + i, "Zorvex plimta and more of it", again + "!") for i in range(6)]  # its own prompt speaks of it
+    t = targets(spark, *own, *few, *kept).withColumn("meeting_id", F.col("target_id").cast("string"))
+    got = {}
+    for i, kind in rows(R.find_residue(t)):
+        got.setdefault(i // 100, set()).add(kind)
+    assert got == {0: {"error_page"}, 1: {"filler_text"}}
+
+
 def test_meaningless_words_need_the_corpus(spark):
     rng = random.Random(3)
     words = sorted(R._LATIN | set(FULL.lower().replace(".", "").split()) | {w for v in D._STOP.values() for w in v.split() if w.isascii()})
