@@ -12,6 +12,7 @@ and written; from then on only keys and identifiers move.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import letters, map_pandas, norm
-from colloquy.session import durable
+from colloquy.session import durable, small
 
 # The labels of the project's formats.
 HEAD_LABELS = ("task", "style", "output language", "session", "任務", "風格", "輸出語言", "場次")
@@ -99,16 +100,47 @@ def hot_from(keys: DataFrame, hot_rows: int) -> int:
     return max(hot_rows, keys.count() // MOST_HOT)
 
 
+def summed(counts: pd.Series, more: pd.Series, room: int) -> pd.Series:
+    """Counts of both, cut to so many keys by taking from each what the first one left out has: no key loses more than the rows of both divided by room."""
+    counts = counts.add(more, fill_value=0)
+    if len(counts) > room:
+        counts = counts - counts.nlargest(room + 1).iloc[-1]
+        counts = counts[counts > 0]
+    return counts
+
+
+def hot_keys(keys: DataFrame, hot_rows: int) -> DataFrame:
+    """(canon, hot) of the keys of more than hot_rows rows, exactly, without a shuffle of all keys.
+
+    Every partition counts its keys within room for 2 x rows / hot_rows of them, so that
+    the sum of the partial counts misses less than hot_rows / 2 of any key; those that
+    reach as much, at most 2 x rows / hot_rows, are counted again, exactly.
+    """
+    room = max(1, 2 * -(-keys.count() // max(1, hot_rows)))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = pd.Series(dtype="float64")
+        for b in batches:
+            counts = summed(counts, b["canon"].value_counts(), room)
+        yield pd.DataFrame({"canon": counts.index, "n": counts.to_numpy()})
+
+    parts = keys.select("canon").mapInPandas(partial, "canon binary, n double")
+    likely = parts.groupBy("canon").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_rows / 2).select("canon")
+    counted = keys.join(small(likely, 2 * MOST_HOT), "canon", "left_semi").groupBy("canon").count()
+    return counted.filter(F.col("count") > hot_rows).select("canon", F.lit(True).alias("hot"))
+
+
 def copy_groups(keys: DataFrame, hot_rows: int = 5_000, salts: int = 32) -> DataFrame:
     """canon, kept_id (the smallest identifier) and copies (rows with that key) of durable (id, canon) rows.
 
-    Keys with more than hot_rows rows are found exactly from partial counts; they are
-    at most rows / hot_rows, and their rows are aggregated in two levels, first by
-    (key, salt). All other keys take one shuffle.
+    The rows of hot_keys(), of which there are at most rows / hot_rows, are aggregated
+    in two levels, first by (key, salt). All other keys take one shuffle, the only one
+    that they take.
     """
-    hot = keys.groupBy("canon").count().filter(F.col("count") > hot_rows).select("canon", F.lit(True).alias("hot"))
-    marked = keys.join(F.broadcast(hot), "canon", "left")
     measure = lambda rows: rows.agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("copies"))
+    if keys.count() <= hot_rows:  # from the footers: no key can be hot
+        return measure(keys.groupBy("canon"))
+    marked = keys.join(small(hot_keys(keys, hot_rows), MOST_HOT), "canon", "left")
     rest = measure(marked.filter("hot is null").groupBy("canon"))
     level1 = measure(marked.filter("hot").groupBy("canon", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")))
     level2 = level1.groupBy("canon").agg(F.min("kept_id").alias("kept_id"), F.sum("copies").alias("copies"))
@@ -134,7 +166,7 @@ def find_copies(df: DataFrame, id_col: str = "target_id", prompt: str = "prompt"
     keys = durable(canonical_keys(df, id_col, prompt, completion), "copies")
     hot_rows = hot_from(keys, hot_rows)
     groups = durable(copy_groups(keys, hot_rows, salts).filter("copies > 1"), "groups")
-    big = F.broadcast(groups.filter(F.col("copies") > hot_rows))
-    small = groups.filter(F.col("copies") <= hot_rows)
-    pairs = keys.join(big, "canon").unionByName(keys.join(small, "canon"))
+    big = small(groups.filter(F.col("copies") > hot_rows), MOST_HOT)
+    rest = groups.filter(F.col("copies") <= hot_rows)
+    pairs = keys.join(big, "canon").unionByName(keys.join(rest, "canon"))
     return pairs.filter("id <> kept_id").select("kept_id", F.col("id").alias("copy_id")).distinct()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -47,6 +49,29 @@ def test_find_copies(spark, rows):
     assert C.find_copies(t.limit(0)).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=20), max_size=6), st.integers(1, 8))
+def test_partial_counts_miss_little(parts, room):
+    rows = sum(map(len, parts))
+    counts = pd.Series(dtype="float64")
+    for part in parts:
+        counts = C.summed(counts, pd.Series(part, dtype="int64").value_counts(), room)
+    assert len(counts) <= room
+    for k in range(10):
+        true = sum(p.count(k) for p in parts)
+        assert true - rows / room <= counts.get(k, 0) <= true
+
+
+def test_hot_keys_exactly(spark, rows):
+    data = [(i, bytes([i % 97 % 7, min(i % 97, 9)])) for i in range(2000)]
+    keys = spark.createDataFrame(data, "id long, canon binary").repartition(5)
+    counts = Counter(k for _, k in data)
+    for hot in (1, 20, 100, 400, 5000):
+        assert {bytes(r["canon"]) for r in C.hot_keys(keys, hot).collect()} == {k for k, n in counts.items() if n > hot}
+        got = {bytes(r["canon"]): (r["kept_id"], r["copies"]) for r in C.copy_groups(keys, hot, 3).collect()}
+        assert got == {k: (min(i for i, x in data if x == k), n) for k, n in counts.items()}
+
+
 def longest_runs(item, text, least):
     """Greedy brute force: from each position the longest run that stands in the text."""
     covered, i = set(), 0
