@@ -256,6 +256,9 @@ _SECTIONS = re.compile(r"(?<![^\W_])(title|summary|decisions|actions|open|topics
 _KEYED = re.compile(r"(?<![^\W_])(owner|task|due|期限)[\"'”* \t]*(?:[:：]|[-–](?=\s))")
 
 
+_DASHES = ("-", "•", "*", "·", "–")
+
+
 def unclosed(text: str) -> bool:
     """A stack of delimiters: something was opened and not closed by the end."""
     stack: list[str] = []
@@ -349,9 +352,9 @@ def truncation(text: str, task: str | None) -> bool | list[int]:
         return False
     raw = [x.strip() for x in re.split(r"[\r\n]+", text) if x.strip()]
     head = _SECTIONS.match(lines[-1])
-    if head and head.end() >= len(lines[-1].rstrip("*_ ")) and len(sections) >= 2:
+    if head and head.end() >= len(lines[-1].rstrip("*_ ")) and len(sections) >= 2 and raw[-1] not in _DASHES:  # a dash after a header says that there is nothing to report
         return True
-    if len(raw) > 1 and raw[-1] in ("-", "•", "*", "·", "–") and not _SECTIONS.match(_BULLET.sub("", raw[-2])):
+    if len(raw) > 1 and raw[-1] in _DASHES and not _SECTIONS.match(_BULLET.sub("", raw[-2])):
         return True
     if not sections:
         keyed = [{m.group(1) for m in _KEYED.finditer(x)} for x in lines]
