@@ -11,7 +11,8 @@ from colloquy.functions.clock import anchor_seconds, clock, clock_seconds
 from colloquy.functions.text import SPACE, estimated_tokens, filled, full_lines, has_han, has_hangul, has_kana, has_latin, judged, pick_hash, reread_ids, title_of, without_thinking
 from colloquy.functions.tokens import token_count
 from colloquy.operators import agent, chunks, compact, curate, evaluation, external, gates, normalise, notes, planning, preferences, transcript, vectors, vocabulary
-from colloquy.session import durable
+from colloquy.session import durable, scratch
+from colloquy.sources import jsonl
 from colloquy.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,13 +139,27 @@ def merge_adjacent_turns(s, d):
     return compact.merge_adjacent(lines, "row_id", "line_no")
 
 
-@query()
+_WORD = r"[\pL\pM\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]"
+# Repeats go without back-references: of pieces (words and what stands between) a word that repeats the one before it after a single space, of characters those that make three or more.
+_UNSTUTTERED = """CASE WHEN lang = 'zh-TW' THEN array_to_string(list_filter(c, lambda x, i: NOT (i > 1 AND regexp_matches(x, '[一-鿿]') AND c[i - 1] = x AND ((i > 2 AND c[i - 2] = x) OR coalesce(c[i + 1] = x, false)))), '')
+    ELSE array_to_string(list_filter(w, lambda x, i: NOT ((i > 2 AND w[i - 1] = ' ' AND lower(w[i - 2]) = lower(x)) OR (i > 1 AND x = ' ' AND coalesce(lower(w[i - 1]) = lower(w[i + 1]), false)))), '') END"""
+_COMPACT = f"""{LINES}, g AS (SELECT l.row_id, m.lang, l.line_no, regexp_extract(l.line, '{_LINE}', 1) AS ts, nullif(regexp_extract(l.line, '{_LINE}', 2), '') AS speaker, regexp_extract(l.line, '{_LINE}', 3) AS said FROM lines l JOIN (SELECT row_id, lang FROM meetings) m USING (row_id)),
+    told AS (SELECT *, string_split(said, '') AS c, regexp_extract_all(said, '{_WORD}+|[^{_WORD[1:-1]}]+') AS w FROM g WHERE {STRIP("said")} <> '' AND NOT CASE WHEN lang = 'zh-TW' THEN regexp_matches({STRIP("said")}, '{_BACK_ZH}') ELSE regexp_matches({STRIP("said")}, '{_BACK}') END),
+    plain AS (SELECT row_id, lang, line_no, ts, speaker, {_UNSTUTTERED} AS x FROM told),
+    clean AS (SELECT row_id, lang, line_no, ts, speaker, trim(regexp_replace({_FILLED}, '{SP}{{2,}}', ' ', 'g'), ' ,') AS text FROM plain),
+    kept AS (SELECT * FROM clean WHERE text <> '')"""
+
+
+@query(f"""WITH {_COMPACT}, new AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY row_id ORDER BY line_no) THEN 0 ELSE 1 END AS n FROM kept),
+    isl AS (SELECT *, sum(n) OVER (PARTITION BY row_id ORDER BY line_no) AS island FROM new),
+    turns AS (SELECT row_id, island, '[' || min_by(ts, line_no) || '] ' || coalesce(any_value(speaker) || ': ', '') || CASE WHEN lang = 'zh-TW' THEN string_agg(text, '' ORDER BY line_no) ELSE string_agg(text, ' ' ORDER BY line_no) END AS line FROM isl GROUP BY row_id, island, lang)
+    SELECT row_id, string_agg(line, chr(10) ORDER BY island) AS transcript FROM turns GROUP BY row_id""")
 def compacted_transcripts(s, d):
     lines = transcript.render_lines(table(s, d, "meetings"), keep=("lang",))
     return transcript.joined(compact.compact_rendered(lines, lang=F.col("lang")), "row_id", "line_no", "line", "transcript")
 
 
-@query()
+@query(f"WITH {_COMPACT} SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY line_no) - 1 AS INT) AS line_no, '[' || ts || '] ' || coalesce(speaker || ': ', '') || text AS line FROM kept")
 def compacted_lines_unmerged(s, d):
     return compact.compact_rendered(transcript.render_lines(table(s, d, "meetings"), keep=("lang",)), lang=F.col("lang"), merge=False)
 
@@ -845,6 +860,86 @@ def mean_vectors(s, d):
     return table(s, d, "embeddings").select("vec_id", vectors.mean_vector(F.array(v, F.transform(v, lambda x: x * 2)), len(table(s, d, "embeddings").first()["embedding"])).alias("mean"))
 
 
+# ---------------------------------------------------------------- files, reports, outside calls
+
+
+@query("SELECT target_id, completion, meta.style AS style, meta.tgt AS tgt, 2 AS n FROM targets")
+def json_lines_roundtrip(s, d):
+    """Written, left alone where something is, appended, and read again with the columns that are wanted."""
+    path = scratch(s, "lines")
+    rows = table(s, d, "targets").select("target_id", "prompt", "completion", "meta")
+    jsonl.write_lines(rows, path)
+    jsonl.write_lines(rows, path, "ignore")
+    jsonl.write_lines(rows, path, "append")
+    back = jsonl.json_lines(s, path, "target_id long, completion string, meta struct<style:string,tgt:string>")
+    return back.groupBy("target_id", "completion", F.col("meta.style").alias("style"), F.col("meta.tgt").alias("tgt")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("SELECT target_id, completion FROM targets WHERE target_id % 7 <> 0")
+def tolerant_lines(s, d):
+    """Every seventh line is broken off; the tolerant scan skips it and reads the others."""
+    path = scratch(s, "broken")
+    whole = F.to_json(F.struct("target_id", "completion"))
+    table(s, d, "targets").select(F.when(F.col("target_id") % 7 == 0, F.substring(whole, 1, 12)).otherwise(whole).alias("value")).write.text(path)
+    return jsonl.json_lines(s, path, "target_id long, completion string", tolerant=True)
+
+
+@query("SELECT row_id, CASE WHEN split IN ('train', 'val', 'test') THEN split ELSE 'train' END AS split, len(utterances) AS n FROM meetings")
+def routed_lines(s, d):
+    path = scratch(s, "routed")
+    jsonl.write_splits(table(s, d, "meetings").select("row_id", "split", F.size("utterances").cast("long").alias("n")), path)
+    return s.read.schema("row_id long, n long, split string").json(path)
+
+
+@query("SELECT count(*) AS rows, CAST(sum(len(utterances)) AS BIGINT) AS utterances FROM meetings")
+def written_counts(s, d):
+    return s.createDataFrame([jsonl.write_counted(table(s, d, "meetings").select("row_id", "utterances"), scratch(s, "counted"))], "rows long, utterances long")
+
+
+@query("""WITH j AS (SELECT source, count(*) AS n, count(*) FILTER (judge.invert) AS inversions, count(*) FILTER (judge.faith BETWEEN 1 AND 3) AS low FROM targets WHERE judge IS NOT NULL GROUP BY source)
+    SELECT 'agg' AS part, '{"source":"' || source || '","n":' || n || ',"inversions":' || inversions || ',"low":' || low || '}' AS line FROM j
+    UNION ALL SELECT 'results', '{"target_id":' || target_id || ',"faith":' || coalesce(CAST(judge.faith AS VARCHAR), 'null') || '}' FROM targets""")
+def report_lines(s, d):
+    t = table(s, d, "targets")
+    return evaluation.report_lines(evaluation.judge_stats(t, ["source"]), t.select("target_id", F.col("judge.faith").alias("faith")))
+
+
+def _fails_at_times():
+    def client(row):
+        if row["target_id"] % 11 == 0:
+            raise ValueError("no answer")
+        return f"{len(row['prompt'])} characters"
+
+    return client
+
+
+@query("SELECT target_id, CASE WHEN target_id % 11 <> 0 THEN length(prompt) || ' characters' END AS answer, CASE WHEN target_id % 11 = 0 THEN 'ValueError: no answer' END AS error FROM targets")
+def called_rows(s, d):
+    return external.called(table(s, d, "targets").select("target_id", "prompt"), _fails_at_times, retries=2, wait=0.0).select("target_id", "answer", "error")
+
+
+@query(f"WITH {LINES} SELECT row_id, line_no, start_sec, text, '[' || {CLOCK('start_sec')} || '] ' || text AS line FROM lines")
+def unlabelled_lines(s, d):
+    return transcript.render_lines(table(s, d, "meetings"), "none").select("row_id", "line_no", "start_sec", "text", "line")
+
+
+_FIRST_LINES = LINES.replace("FROM meetings)", "FROM (SELECT * FROM meetings QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id) = 1))")
+
+
+@query(f"""WITH {_ITEMS}, {_MERGED(_KEYSQL)}, {_FIRST_LINES}, own AS (SELECT m.id AS meeting, l.line_no, l.start_sec, l.line FROM lines l JOIN (SELECT id, row_id FROM meetings) m USING (row_id)),
+    over_cap AS (SELECT * FROM merged WHERE n > {_CAPSQL}), lists AS (SELECT meeting, section, string_agg('- ' || text, chr(10) ORDER BY rank) AS items FROM over_cap GROUP BY ALL),
+    starts AS (SELECT meeting, start_sec, max(line_no) AS hit FROM own GROUP BY ALL), ends AS (SELECT meeting, max(line_no) AS last_no FROM own GROUP BY ALL),
+    hits AS (SELECT a.meeting, a.section, coalesce(x.hit, 0) AS hit FROM (SELECT DISTINCT meeting, section, at_sec FROM over_cap WHERE at_sec >= 0) a ASOF LEFT JOIN starts x ON a.meeting = x.meeting AND a.at_sec >= x.start_sec),
+    wanted AS (SELECT DISTINCT h.meeting, h.section, unnest(range(h.hit, least(h.hit + 2, e.last_no) + 1)) AS line_no FROM hits h JOIN ends e USING (meeting)),
+    picked AS (SELECT * FROM wanted QUALIFY row_number() OVER (PARTITION BY meeting, section ORDER BY line_no) <= 40),
+    ev AS (SELECT p.meeting, p.section, string_agg(o.line, chr(10) ORDER BY p.line_no) AS evidence FROM picked p JOIN own o ON o.meeting = p.meeting AND o.line_no = p.line_no GROUP BY ALL)
+    SELECT l.meeting, l.section, l.items, coalesce(ev.evidence, '') AS evidence FROM lists l LEFT JOIN ev ON ev.meeting = l.meeting AND ev.section = l.section""")
+def sections_to_compress(s, d):
+    first = curate.first_of(table(s, d, "meetings").select("id", "row_id", "lang", "utterances"), ["id"], ["row_id"])
+    lines = durable(transcript.render_lines(first, key="id").select(F.col("id").alias("meeting"), "line_no", "start_sec", "line"), "lines")
+    return agent.to_compress(durable(_merged(s, d), "merged"), lines, notes.CAPS)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in ALL.items()}
 

@@ -43,6 +43,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted by release()."""
+    path = os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -50,8 +57,7 @@ def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     with it. Parquet keeps the copy compressed and lets later reads prune columns.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
