@@ -223,3 +223,16 @@ def fill_report(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     out = placed.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("used"))
     out = out.select("items", F.lit(opened).cast("long").alias("containers"), F.ceil(F.col("used") / capacity).alias("least_containers"), "used")
     return out.select("items", "containers", "least_containers", (F.col("used") / F.lit(max(1, opened) * capacity)).alias("fill"))
+
+
+def packing_check(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: pieces and characters packed, whether none is lost or in two places, no container too full, none empty, and the containers within a fiftieth and one more of what the volume demands."""
+    capacity = capacity_of(sizes)
+    placed, opened = place(row_sizes(rows), capacity)
+    boxes = placed.filter("size > 0").groupBy("container").agg(F.sum("size").alias("full"))
+    full = boxes.agg(F.coalesce(F.max("full"), F.lit(0)).alias("fullest"), F.count(F.lit(1)).alias("boxes"))
+    packed = placed.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum("size"), F.lit(0)).alias("chars"), F.count_distinct("id", "piece").alias("places"))
+    return packed.crossJoin(full).select(
+        "pieces", "chars", (F.col("places") == F.col("pieces")).alias("once"), (F.col("fullest") <= capacity).alias("fits"), (F.col("boxes") == opened).alias("none_empty"),
+        (F.lit(opened) <= F.ceil(F.col("chars") / capacity) * 1.02 + 1).alias("tight"),
+    )
