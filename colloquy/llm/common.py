@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from re import _parser  # what the module itself parses patterns with
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -73,3 +75,58 @@ def bounded(batches: Iterator[pd.DataFrame], column: str = "text", chars: int =
         part = (n.cumsum() - n) // chars
         for k in pd.unique(part):
             yield b[part == k]
+
+
+def required(pattern: re.Pattern) -> set[str]:
+    """Literals of which every match of the pattern holds at least one, read off its parse; raises where there are none. For patterns that do not ignore case."""
+    if pattern.flags & re.IGNORECASE:
+        raise ValueError("literals of a pattern that ignores case are not fixed")
+    found = _required(_parser.parse(pattern.pattern, pattern.flags & ~re.UNICODE))
+    if not found:
+        raise ValueError(f"nothing is required by {pattern.pattern[:40]}")
+    return found
+
+
+def _required(parts: Iterable) -> set[str] | None:
+    """Of a sequence the set whose shortest literal is the longest; None where nothing is required."""
+    options, run = [], ""
+    for op, value in [*parts, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            options.append({run})
+            run = ""
+        if op is _parser.BRANCH:
+            each = [_required(x) for x in value[1]]
+            if all(each):
+                options.append(set().union(*each))
+        elif op is _parser.SUBPATTERN and (inner := _required(value[3])):
+            options.append(inner)
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] >= 1 and (inner := _required(value[2])):
+            single = len(value[2]) == 1 and value[2][0][0] is _parser.LITERAL
+            options.append({x * value[0] for x in inner} if single else inner)
+        elif op is _parser.IN and all(k is _parser.LITERAL for k, _ in value):
+            options.append({chr(x) for _, x in value})
+    return max(options, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+class Gate:
+    """Which of some patterns a text can hold at all: those of whose required literals it holds one, found by one pass of an Aho-Corasick automaton. Exact: a pattern left out has no match in the text nor in any part of it."""
+
+    def __init__(self, patterns: dict[str, re.Pattern]):
+        self.names = list(patterns)
+        words: dict[str, int] = {}
+        for k, p in enumerate(patterns.values()):
+            for w in required(p):
+                words[w] = words.get(w, 0) | 1 << k
+        self.automaton = ahocorasick.Automaton()
+        for w, bits in words.items():
+            self.automaton.add_word(w, bits)
+        self.automaton.make_automaton()
+
+    def may(self, text: str) -> dict[str, bool]:
+        bits = 0
+        for _, b in self.automaton.iter(text):
+            bits |= b
+        return {name: bool(bits >> k & 1) for k, name in enumerate(self.names)}

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import norm
+from colloquy.llm.common import Gate, norm
 from colloquy.session import durable
 
 KINDS = ("placeholder", "filler_text", "error_page", "script_notice")
@@ -136,18 +136,23 @@ def repeats(unit: str) -> bool:
     return False
 
 
-def unit_kind(unit: str, model: Letters | None = None, items: bool = True) -> str | None:
-    """The kind of residue that one unit is or holds; items: whether a numbered item without content counts."""
-    if _SLOT.search(unit):
+#: The patterns whose literals a text must hold before they are tried on its units.
+GATE = Gate({"slot": _SLOT, "script": _SCRIPT, "error": _ERROR})
+_ALL = dict.fromkeys(GATE.names, True)
+
+
+def unit_kind(unit: str, model: Letters | None = None, items: bool = True, may: dict[str, bool] = _ALL) -> str | None:
+    """The kind of residue that one unit is or holds; items: whether a numbered item without content counts; may: of GATE."""
+    if may["slot"] and _SLOT.search(unit):
         return "placeholder"
     words = _LETTER.findall(unit)
     if len(words) >= 3 and sum(w in _LATIN for w in words) >= 0.75 * len(words) and len(set(words) & _LATIN) >= 3:
         return "filler_text"
     if _FILL.search(unit) or items and len(unit) < 40 and _ITEM.search(unit) or repeats(unit):
         return "filler_text"
-    if _SCRIPT.search(unit) and not _REPORT.search(unit):
+    if may["script"] and _SCRIPT.search(unit) and not _REPORT.search(unit):
         return "script_notice"
-    if (m := _ERROR.search(unit)) and (m.start() <= 14 or len(m.group()) >= 0.5 * len(unit)) and not _REPORT.search(unit[m.end() :]):
+    if may["error"] and (m := _ERROR.search(unit)) and (m.start() <= 14 or len(m.group()) >= 0.5 * len(unit)) and not _REPORT.search(unit[m.end() :]):
         return "error_page"
     if meaningless(unit, model):
         return "filler_text"
@@ -162,11 +167,11 @@ def residue_kind(completion: str | None, model: Letters | None = None) -> str |
     text = bare(completion)
     if not text.strip():
         return None
-    parts = units(text)
-    found = {kind for u in parts if (kind := unit_kind(u, model))}
+    parts, may = units(text), GATE.may(text)
+    found = {kind for u in parts if (kind := unit_kind(u, model, may=may))}
     if found == {"filler_text"}:
         items = sum(len(u) < 40 and bool(_ITEM.search(u)) for u in parts)
-        others = sum(unit_kind(u, model, items=False) == "filler_text" for u in parts)
+        others = sum(unit_kind(u, model, False, may) == "filler_text" for u in parts)
         if not others and items < min(3, max(2, 0.8 * len(parts))):
             return None
     return next((kind for kind in ("placeholder", "script_notice", "error_page", "filler_text") if kind in found), None)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import copies as C
 from colloquy.llm import defects as D
 from colloquy.llm import residue as R
+from colloquy.llm.common import required
 
 SCHEMA = "target_id long, meeting_id string, task string, lang string, prompt string, completion string, meta struct<style:string,tgt:string>, id string, canon string, kind string"
 
@@ -167,6 +170,30 @@ def test_a_text_holds_what_its_units_hold(parts, sep):
     assert not kinds or R.residue_kind(text) in kinds
 
 
+PIECES = sorted({w for p in (R._SLOT, R._SCRIPT, R._ERROR) for w in required(p)} | set("ab _<>{}%[]()【】○x4五。. \n") | {"lo", "todo", "TBD".lower(), "enable", "http 5", "03", "here>"})
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
+def test_gate_keeps_every_match(text):
+    """A pattern that the gate leaves out has no match in the text nor in a unit of it."""
+    may = R.GATE.may(text)
+    for name, p in (("slot", R._SLOT), ("script", R._SCRIPT), ("error", R._ERROR)):
+        assert may[name] or not p.search(text) and not any(p.search(u) for u in R.units(text))
+    for u in R.units(text):
+        assert R.unit_kind(u, may=may) == R.unit_kind(u)
+
+
+def test_required_literals():
+    assert required(re.compile(r"ab+c|(?:xy)?z{3}")) == {"a", "zzz"} or required(re.compile(r"ab+c|(?:xy)?z{3}")) == {"b", "zzz"} or required(re.compile(r"ab+c|(?:xy)?z{3}")) == {"c", "zzz"}
+    assert required(re.compile(r"(?<!q)[12]\d+ (?:foo|bar)\b")) in ({"foo", "bar"}, {" foo", " bar"}, {"1", "2"}, {" "})
+    for bad in (r"\d+", r"a|\w", r"(?:ab)?"):
+        with pytest.raises(ValueError):
+            required(re.compile(bad))
+    with pytest.raises(ValueError):
+        required(re.compile("ab", re.I))
+
+
 def test_combined_evidence(spark, rows):
     """Duplicated, mismatched responses of any length are residue if a word hints at a kind or the body says its title again; refusals and foreign answers are not."""
     page = "Depot unavailable {}\n" + "\n".join("The depot is unavailable" for _ in range(30))
