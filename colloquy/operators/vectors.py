@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,16 @@ def mean_vector(vectors: Column, size: int) -> Column:
     """Element-wise mean of an array of vectors of that size."""
     total = F.aggregate(vectors, F.array_repeat(F.lit(0.0), size), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     return F.transform(total, lambda x: x / F.size(vectors))
+
+
+def piece_means(pieces: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(piece, vector): where a new piece starts, the element-wise mean of the vectors of its old parts.
+
+    pieces: piece and part, one row per part, repeated parts counting as often; vectors:
+    part and vector, all of one length. Sums are taken per element before they are
+    shuffled, so a piece of any number of parts is no task's load; a piece none of whose
+    parts has a vector is left out.
+    """
+    each = pieces.join(vectors, "part").select("piece", F.posexplode("vector").alias("at", "x"))
+    means = each.groupBy("piece", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy("piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("vector"))

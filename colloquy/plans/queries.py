@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.clock import anchor_seconds, clock, clock_seconds
@@ -940,6 +940,27 @@ def sections_to_compress(s, d):
     return agent.to_compress(durable(_merged(s, d), "merged"), lines, notes.CAPS)
 
 
+@query("SELECT label AS piece, place, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings) GROUP BY label, place")
+def piece_means(s, d):
+    e = table(s, d, "embeddings")
+    means = vectors.piece_means(e.select(F.col("label").alias("piece"), F.col("vec_id").alias("part")), e.select(F.col("vec_id").alias("part"), F.col("embedding").alias("vector")))
+    return means.select("piece", F.posexplode("vector").alias("place", "x")).select("piece", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
+@query("SELECT row_id, mode, notes, 1 AS files FROM agent_rows")
+def json_documents(s, d):
+    """One document per file, in one folder per mode."""
+    path = scratch(s, "documents")
+    table(s, d, "agent_rows").select("row_id", "mode", "notes").write.option("maxRecordsPerFile", 1).partitionBy("mode").json(path)
+    back = jsonl.json_documents(s, path, "row_id long, notes string")
+    return back.select("row_id", F.replace("split", F.lit("mode="), F.lit("")).alias("mode"), "notes", F.count(F.lit(1)).over(Window.partitionBy("file", "split")).cast("int").alias("files"))
+
+
+@query(f"WITH {_RUNS}, n AS (SELECT t, {_COST('t')} AS k FROM txt WHERE t <> '') SELECT count(*) AS lines, CAST(sum(length(t)) AS BIGINT) AS chars, CAST(sum(k) AS BIGINT) AS tokens, sum(length(t)) / sum(k) AS chars_per_token FROM n")
+def corpus_tokens(s, d):
+    return vocabulary.corpus_size(vocabulary.corpus_lines(table(s, d, "meetings"), table(s, d, "targets")), estimated_tokens)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in ALL.items()}
 
