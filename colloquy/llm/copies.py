@@ -29,7 +29,7 @@ SECTION_LABELS = ("title", "summary", "decisions", "actions", "open", "topics")
 ENTRY_LABELS = ("owner", "task", "due")
 
 def _any(labels: tuple[str, ...]) -> str:
-    return "|".join(re.escape(x).replace(r"\ ", r"\s+") for x in labels)
+    return "|".join(re.escape(x).replace(r"\ ", r"[ \t]+") for x in labels)
 
 
 _BODY = re.compile(rf"(?<![^\W_])({_any(BODY_LABELS)})[ \t*_\"]*(?:[:：]|[ \t][-–](?=\s)|(?=[\n\r]))")

@@ -34,6 +34,7 @@ def test_canonical_forms():
         ("**Task:** Sum up. **Output language:** English **Transcript:** [0:00] S1: Hello there.", '[{"task": "do it", "owner": "A B", "due": "May 1"}]'),
     ]
     assert len({C.canonical_key(*x) for x in same}) == 1
+    assert C.canonical_prompt("Task: List it after this meeting.\nOutput language: English\nTranscript:\nhi") == C.canonical_prompt("Output language: English\nTask: list it after this meeting\nTRANSCRIPT:\nhi")
     two = '[{"owner": "A", "task": "x", "due": "1"}, {"owner": "B", "task": "y", "due": "2"}]'
     moved = '[{"owner": "B", "task": "x", "due": "1"}, {"owner": "A", "task": "y", "due": "2"}]'
     assert C.canonical_completion(two) != C.canonical_completion(moved)
