@@ -31,7 +31,8 @@ _LEAD = rf"^{_GAP}*(?:{_SOUND[4:]}{_GAP}*)*"
 _FILLER_EN = rf"\b(?:{_HESITATION}|(?:you know|i mean)(?=\s*(?:,|\.\.|…| [-–—])))\b(?!['’])(?<!\bas you know)"
 _FILLER_HAN = r"[嗯呃欸唔]|(?<!也)(?:就是說|那個|這個)(?=[，、…]|\.\.)"
 _FILLER_CUT = rf"(?i)\s*(?:[-–—] )?(?:(?<![\p{{L}}\d'’-]){_HESITATION}(?![\p{{L}}\d'’])|(?<![\p{{L}}])(?<!(?<![a-z])as )(?:you know|i mean)(?=\s*(?:,|\.\.|…| [-–—])))(?:\.{{2,}}|…+|,| [-–—](?= ))?|[嗯呃欸唔]+哼?[，、。…]*|(?<!也)(?:就是說|那個|這個)(?:[，、]|…+|\.\.+)"
-_LABEL = r"^\s*((?:Person|Speaker|S)[ _]?#?\d{1,3}|#Person\d+#|\p{Lu}[\p{L}.'’-]*(?: \p{Lu}[\p{L}.'’-]*){1,3}|\p{IsHan}{2,6})\s*[:：](?!\d)\s*"
+# A number before the colon and one after it are a time; any other label may stand before a number.
+_LABEL = r"^\s*((?:Person|Speaker|S)[ _]?#?\d{1,3}(?!\s*[:：]\d)|#Person\d+#|\p{Lu}[\p{L}.'’-]*(?: \p{Lu}[\p{L}.'’-]*){1,3}|\p{IsHan}{2,6})\s*[:：]\s*"
 
 
 # The signs that a note of sound or a Han filler cannot do without; finding them is much cheaper than the patterns.

@@ -29,6 +29,11 @@ def dirt(spark, *utterances):
     return out
 
 
+def test_labels_before_numbers(spark):
+    got = dirt(spark, (None, "推廣專員：132萬元夠不夠？"), (None, "S1:30 is when we meet."), (None, "Field Clerk:104 tickets are open."), (None, "我們13:15休息"))
+    assert got == {0: {"speaker_label"}, 2: {"speaker_label"}}
+
+
 def test_marks_of_time(spark):
     got = dirt(spark, ("A", "[0:05] a"), ("A", "00:00:09,120 --> 00:00:09,980 b"), ("A", "00:00:12.5 c"), ("A", "d (0:14)"), ("A", "〔00:01:03〕489 e"), ("A", "We break at 10:25 and go"), ("A", "It was read at 10:45"), ("A", "9:35 is early"), ("A", "[LAUGHTER] [0:40] late"), (None, None), (None, ""))
     assert {p for p, k in got.items() if "timestamp" in k} == {0, 1, 2, 3, 4, 8}
