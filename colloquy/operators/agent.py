@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -26,20 +27,23 @@ def map_notes(chunks: DataFrame, template: str, make_client: MakeClient, **optio
     return note_items(called(asked, make_client, "notes", **options), ["meeting", "chunk"], "notes")
 
 
+# Fixed value: what a line of notes is, a header or an item.
+_MARK = re.compile(r"^[^\S\n]*(?:(?P<head>[A-Z]+)[^\S\n]*[:：]|- (?P<item>.*?))\s*$", re.M)
+
+
 def parsed(answer: str | None) -> dict[str, list[str]]:
     """Items by section, as note_items() reads them leniently: for loops in which one answer makes the next prompt."""
-    text = re.sub(r"(?s)<think>.*?</think>", "", answer or "").strip()
-    lines = [x.strip() for x in text.split("\n")]
+    said = re.sub(r"(?s)<think>.*?</think>", "", answer or "")
     out: dict[str, list[str]] = {s: [] for s in SECTIONS}
-    section, headed = "SUMMARY", False
-    for x in lines:
-        head = re.match(r"([A-Z]+)\s*[:：]\s*$", x)
-        if head and head.group(1) in out:
-            section, headed = head.group(1), True
-        elif x.startswith("- ") and (item := x[2:].strip()) not in ("", "-"):
-            out[section].append(item)
-    if not headed and not any(out.values()):
-        out["SUMMARY"] = [x for x in lines if len(x) > 20][:5]
+    into, marks = out[SECTIONS[0]], 0
+    for m in _MARK.finditer(said):
+        if m["head"] in out:
+            into, marks = out[m["head"]], marks + 1
+        elif (m["item"] or "").strip() not in ("", "-"):
+            into.append(m["item"].strip())
+            marks += 1
+    if not marks:
+        into += islice((x for line in said.split("\n") if len(x := line.strip()) > 20), 5)
     return out
 
 
