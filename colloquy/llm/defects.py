@@ -394,7 +394,7 @@ def cut_off(e1, n1, e3, ns, ds):
 def verdict(prompt: str | None, completion: str | None, due: str | None, task: str | None, model: residue.Letters | None) -> str | None | list[int]:
     if says_nothing(completion):
         return "empty"
-    if residue.residue_kind(completion, model):
+    if residue.residue_kind(completion, model, prompt):
         return None
     text, asked = residue.bare(completion), norm(prompt)
     if is_refusal(text):

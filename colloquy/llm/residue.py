@@ -141,8 +141,8 @@ GATE = Gate({"slot": _SLOT, "script": _SCRIPT, "error": _ERROR})
 _ALL = dict.fromkeys(GATE.names, True)
 
 
-def unit_kind(unit: str, model: Letters | None = None, items: bool = True, may: dict[str, bool] = _ALL) -> str | None:
-    """The kind of residue that one unit is or holds; items: whether a numbered item without content counts; may: of GATE."""
+def unit_kind(unit: str, model: Letters | None = None, items: bool = True, may: dict[str, bool] = _ALL, slug: str | None = None) -> str | None:
+    """The kind of residue that one unit is or holds; items: whether a numbered item without content counts; may: of GATE; slug: the prompt, which must not share a term with a unit that only looks meaningless."""
     if may["slot"] and _SLOT.search(unit):
         return "placeholder"
     words = _LETTER.findall(unit)
@@ -154,13 +154,13 @@ def unit_kind(unit: str, model: Letters | None = None, items: bool = True, may:
         return "script_notice"
     if may["error"] and (m := _ERROR.search(unit)) and (m.start() <= 14 or len(m.group()) >= 0.5 * len(unit)) and not _REPORT.search(unit[m.end() :]):
         return "error_page"
-    if meaningless(unit, model):
+    if meaningless(unit, model) and (slug is None or mismatch(slug, unit)):
         return "filler_text"
     return None
 
 
-def residue_kind(completion: str | None, model: Letters | None = None) -> str | None:
-    """The kind of residue that the text is or holds; the strongest evidence first.
+def residue_kind(completion: str | None, model: Letters | None = None, slug: str | None = None) -> str | None:
+    """The kind of residue that the text is or holds; the strongest evidence first. slug: the record's prompt.
 
     Numbered items without content ("Item 1") count from three on, or where two make up the text.
     """
@@ -168,10 +168,10 @@ def residue_kind(completion: str | None, model: Letters | None = None) -> str |
     if not text.strip():
         return None
     parts, may = units(text), GATE.may(text)
-    found = {kind for u in parts if (kind := unit_kind(u, model, may=may))}
+    found = {kind for u in parts if (kind := unit_kind(u, model, may=may, slug=slug))}
     if found == {"filler_text"}:
         items = sum(len(u) < 40 and bool(_ITEM.search(u)) for u in parts)
-        others = sum(unit_kind(u, model, False, may) == "filler_text" for u in parts)
+        others = sum(unit_kind(u, model, False, may, slug) == "filler_text" for u in parts)
         if not others and items < min(3, max(2, 0.8 * len(parts))):
             return None
     return next((kind for kind in ("placeholder", "script_notice", "error_page", "filler_text") if kind in found), None)
@@ -281,7 +281,7 @@ def find_residue(df: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, host, p, c in zip(b["i"], b["host"], b["p"], b["c"]):
-                kind = residue_kind(c, model)
+                kind = residue_kind(c, model, p)
                 if kind:
                     rows.append((i, kind, None, None, False, False, None, False))
                     continue

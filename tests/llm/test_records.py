@@ -216,6 +216,7 @@ def test_meaningless_words_need_the_corpus(spark):
     words = sorted(R._LATIN | set(FULL.lower().replace(".", "").split()) | {w for v in D._STOP.values() for w in v.split() if w.isascii()})
     t = targets(spark, *((i, "p", " ".join(rng.choices(words, k=40))) for i in range(600)), (900, "p", "qzxvk wqjz xkcdq vvzqk"))
     model = R.Letters(R.letter_counts(t, "completion"))
+    assert R.residue_kind("qzxvk wqjz xkcdq vvzqk", model, "about halls") == "filler_text" and R.residue_kind("qzxvk wqjz xkcdq vvzqk", model, "What are the codes qzxvk and wqjz?") is None
     assert R.residue_kind("qzxvk wqjz xkcdq vvzqk", model) == "filler_text" and R.residue_kind(FULL, model) is None
 
 
