@@ -81,7 +81,9 @@ def compact_rendered(lines: DataFrame, key: str = "row_id", lang: str | Column =
 
 def _compacted(rows: DataFrame, key: str, merge: bool) -> DataFrame:
     rows = rows.withColumn("line", strip("line")).filter("line <> ''")
-    rows = rows.select(key, "zh", "pos", "line", line_parts("line").alias("p")).select(key, "zh", "pos", "line", "p.*")
+    part = lambda i: F.regexp_extract("line", LINE, i)
+    # Parts one by one: fields of line_parts() would test the mark again wherever they are used.
+    rows = rows.select(key, "zh", "pos", "line", F.nullif(part(1), F.lit("")).alias("ts"), F.nullif(part(2), F.lit("")).alias("speaker"), part(3).alias("said"))
     marked = F.col("ts").isNotNull()
     rows = rows.filter(~marked | ~_by_language(F.col("zh"), lambda x: is_backchannel("said", x)))
     rows = rows.withColumn("text", F.when(marked, _by_language(F.col("zh"), lambda x: cleaned("said", x))).otherwise(F.col("line"))).filter("text <> ''")
