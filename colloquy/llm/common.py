@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 
 #: Lines of a transcript carry a clock and a label: "[0:05] S1: text".
 CLOCK = r"[\[(<〔【]?\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?\s*[\])>〕】]?"
+#: Begins with the class of its first signs, so that the search skips to them; so does FILLER.
 STAMP = re.compile(
-    r"[\[(<〔【]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\])>〕】]"
-    r"|\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?"
-    r"|\d{1,2}:\d{2}:\d{2}\s*-->\s*\d{1,2}:\d{2}:\d{2}"
+    r"[\[(<〔【\d](?:(?<!\d)\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\])>〕】]"
+    r"|(?<=\d)\d?:\d{2}:\d{2}(?:[.,]\d{1,3}(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?|\s*-->\s*\d{1,2}:\d{2}:\d{2}))"
 )
 #: Notes on what was heard besides speech.
 NOTE = re.compile(
@@ -27,9 +27,10 @@ NOTE = re.compile(
 )
 #: Hesitations, and phrases put in between that say nothing.
 FILLER = re.compile(
-    r"(?<![\w'])(?:u+h+[ -]huh|mm+[ -]hmm+|u+h+|u+m+|e+r+m+|er|h+mm+|mm+|(?<!as )you know(?=\s*(?:,|\.\.\.|…|-|—))|i mean(?=\s*(?:,|\.\.\.|…|-|—)))(?![\w'])[,.…]*"
-    r"|[嗯呃欸]+哼?[，、。…]*|(?:就是說|那個)(?:[，、]|……|…)",
-    re.I,
+    r"[uUeEhHmMyYiIİı嗯呃欸就那](?:(?<![\w'].)(?i:(?<=u)u*h+[ -]huh|(?<=m)m+[ -]hmm+|(?<=u)u*h+|(?<=u)u*m+|(?<=e)e*r+m+|(?<=e)r|(?<=h)h*mm+|(?<=m)m+"
+    r"|(?<=y)(?<!as y)ou know(?=\s*(?:,|\.\.\.|…|-|—))|(?<=i) mean(?=\s*(?:,|\.\.\.|…|-|—)))(?![\w'])[,.…]*"
+    r"|(?<=[嗯呃欸])[嗯呃欸]*哼?[，、。…]*|(?:(?<=就)是說|(?<=那)個)(?:[，、]|……|…))",
+    re.S,
 )
 LABEL = re.compile(r"^\s*(?:[-*•·–]\s*)?(?:S\d{1,3}|[A-Z][\w.'-]*(?: [A-Z#\d][\w.'-]*){0,3}|[一-鿿]{2,6})\s*[:：]\s*", re.M)
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")

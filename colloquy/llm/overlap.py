@@ -2,10 +2,11 @@
 
 Texts are normalised to token sequences; equal sequences form a class, and only
 class representatives are compared. The evaluation classes are cut into passages,
-consecutive runs of tokens, and sharded by volume. The passages of one shard make
-one Aho-Corasick automaton over tokens, and every training class is scanned by it
-where it lies: all passages that stand in the text come out in one traversal,
-whatever their number. For each record with enough of them, the matched passages are
+consecutive runs of tokens, and sharded by volume. Every training class meets every
+shard where it lies: a sieve counts the passages of each record that stand in the text
+and leaves the records that can be the same meeting at all, an exact condition. The
+passages of those make an Aho-Corasick automaton over tokens, which scans the text:
+all that stand in it come out in one traversal. They are
 chained in order, merged into intervals, and measured as coverage of both texts.
 """
 
@@ -15,7 +16,7 @@ import re
 import uuid
 import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
 
@@ -34,8 +35,12 @@ PASSAGE = {False: 5, True: 8}
 COVERAGE = 0.44
 #: Passages between two matched ones that may count as edited, so that matched ones are at least 1 / (BRIDGE + 1) of those covered.
 BRIDGE = 3
-#: Tokens of evaluation records in one shard; its automaton takes about 40 bytes for each in every worker.
-SHARD = 2_000_000
+#: Tokens of evaluation records in one shard, which every worker holds with its sieve, about 10 bytes for each.
+SHARD = 10_000_000
+#: Tokens of the records in one automaton, about 40 bytes for each.
+AUTOMATON = 2_000_000
+#: Records of a shard from which a passage is common.
+COMMON = 5
 
 SPLIT_NAMES = {"train": "train", "val": "val", "dev": "val", "validation": "val", "valid": "val", "test": "test"}
 
@@ -49,6 +54,8 @@ def split_name(column: str = "split") -> F.Column:
     return out
 
 
+#: All but letters and digits as spaces: what WORD finds in a text without other signs.
+_SPACED = bytes(i if chr(i).isalnum() and i < 128 else 32 for i in range(256))
 _TIME = re.compile(r"\W{0,3}(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?:[.,]\d{1,3})?(?:\W|$)")
 
 
@@ -71,7 +78,8 @@ def tokens(texts: list[str | None]) -> list[str]:
     text = NOTE.sub(" ", text)
     text = LABEL.sub(" ", text)
     text = FILLER.sub(" ", text)
-    return WORD.findall(norm(text))
+    text = norm(text)
+    return text.encode().translate(_SPACED).decode().split() if text.isascii() else WORD.findall(text)
 
 
 def is_han(words: list[str]) -> bool:
@@ -160,33 +168,159 @@ class Shard:
         low, n = self.first[distinct], self.first[distinct + 1] - self.first[distinct]
         each = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         shared = np.bincount(self.owner[each], minlength=len(self.n))
-        # Exact necessary conditions: every matched passage bridges BRIDGE others at most.
-        most = shared * (BRIDGE + 1)
+        # Exact necessary conditions: every matched passage but the last bridges BRIDGE others at most.
+        most = shared * (BRIDGE + 1) - BRIDGE + 1e-6
         likely = np.flatnonzero((most >= COVERAGE * self.n) & (most * self.size >= COVERAGE * len(codes)) & (self.n * self.size >= COVERAGE * len(codes)))
         if not len(likely):
             return
         wanted = np.zeros(len(self.n), dtype=bool)
         wanted[likely] = True
         hits: dict[int, dict[int, list[int]]] = {int(r): {} for r in likely}
-        for end, w in zip(ends.tolist(), which.tolist()):
-            a, z = self.first[w], self.first[w + 1]
-            for k in a + np.flatnonzero(wanted[self.owner[a:z]]):
-                hits[int(self.owner[k])].setdefault(int(self.number[k]), []).append(end)
+        low, n = self.first[which], self.first[which + 1] - self.first[which]
+        each = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        mine = wanted[self.owner[each]]
+        for r, k, end in zip(self.owner[each[mine]].tolist(), self.number[each[mine]].tolist(), np.repeat(ends, n)[mine].tolist()):
+            hits[r].setdefault(k, []).append(end)
         for r, own in hits.items():
             yield self.classes[r], *coverage(own, int(self.n[r]), int(self.size[r]), len(codes))
 
 
-_made: dict[str, Shard] = {}
+def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """64 bits of each run of so many tokens, by its first one; equal runs have equal ones."""
+    n = max(0, len(codes) - width + 1)
+    x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    h = x[:n] + np.uint64(width)
+    for j in range(1, width):
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h += x[j : j + n]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h
+
+
+class Sieve:
+    """Tells which of some evaluation records a text can be a telling of at all, by counting the passages that it holds. Exact: hashes that collide only let more pass.
 
+    A chain of c passages covers 4 c - 3 at most (BRIDGE), so COVERAGE asks for a least
+    c. Of the passages of a record that many others hold too, fewer than that least
+    number are not looked up, and the number asked for is less by as many.
+    """
 
-def shard_of(name: str, records: Callable[[], list[tuple[int, bytes, bool]]]) -> Shard:
+    def __init__(self, records: list[tuple[int, np.ndarray, bool]]):
+        own = np.array([len(x) for _, x, _ in records], dtype=np.int64)
+        self.size = np.array([PASSAGE[han] for _, _, han in records], dtype=np.int64)
+        self.n = -(-own // self.size)
+        codes = np.concatenate([x for _, x, _ in records]) if records else np.empty(0, dtype=np.int32)
+        owner = np.repeat(np.arange(len(records)), self.n)
+        first = np.cumsum(self.n) - self.n
+        # As passages() cuts them.
+        start = np.minimum((np.arange(len(owner)) - first[owner]) * self.size[owner], (own - self.size)[owner])
+        start = np.maximum(start, 0) + (np.cumsum(own) - own)[owner]
+        width = np.minimum(self.size, own)[owner]
+        self.widths = np.unique(width).tolist()
+        hashes = np.empty(len(owner), dtype=np.uint64)
+        for w in self.widths:
+            at = width == w
+            hashes[at] = window_hashes(codes, w)[start[at]]
+        self.hashes, which, often = np.unique(hashes, return_inverse=True, return_counts=True)
+        least = self.least(self.n)
+        order = np.lexsort((-often[which], owner))
+        rank = np.empty(len(owner), dtype=np.int64)
+        rank[order] = np.arange(len(owner)) - first[owner[order]]
+        left_out = (rank < ((least - 1) * 2 // 3)[owner]) & (often[which] >= COMMON)
+        self.spared = np.bincount(owner[left_out], minlength=len(records))
+        self.need = least - self.spared
+        owner, which = owner[~left_out], which[~left_out]
+        order = np.argsort(which, kind="stable")
+        self.owner = owner[order].astype(np.int32)
+        self.first = np.searchsorted(which[order], np.arange(len(self.hashes) + 1))
+        # Nearly all other windows are told by a table without a search.
+        self.shift = np.uint64(64 - min(25, max(10, (16 * len(self.hashes)).bit_length())))
+        self.seen = np.zeros(1 << 64 - int(self.shift), dtype=bool)
+        self.seen[self.hashes[np.diff(self.first) > 0] >> self.shift] = True
+
+    @staticmethod
+    def least(units: np.ndarray) -> np.ndarray:
+        """Passages that a chain must hold to cover COVERAGE of so many."""
+        return np.ceil((COVERAGE * units + BRIDGE) / (BRIDGE + 1) - 1e-6).astype(np.int64)
+
+    def likely(self, texts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of a text, places of records) for the texts that may reach COVERAGE with some record."""
+        sizes = np.array([len(x) for x in texts], dtype=np.int64)
+        part = (np.cumsum(sizes) - sizes) // 200_000
+        for k in np.unique(part):
+            a, z = np.searchsorted(part, [k, k + 1])
+            for t, records in self._likely(texts[a:z], sizes[a:z]):
+                yield int(a) + t, records
+
+    def _likely(self, texts: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        codes, text = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # tokens from each to the end of its text
+        short = sizes[text] * COVERAGE <= max(PASSAGE.values())
+        pairs = []
+        for w in self.widths:
+            h = window_hashes(codes, w)
+            # Records of less than a passage cannot cover enough of longer texts.
+            may = self.seen[h >> self.shift] & (left[: len(h)] >= w) & (short[: len(h)] | (w in PASSAGE.values()))
+            at = np.flatnonzero(may)
+            h = h[at]
+            i = np.searchsorted(self.hashes, h)
+            i[i == len(self.hashes)] = 0
+            same = self.hashes[i] == h
+            pairs.append(text[at[same]] * len(self.hashes) + i[same])
+        pair = np.unique(np.concatenate(pairs))
+        t, i = np.divmod(pair, len(self.hashes))
+        n = self.first[i + 1] - self.first[i]
+        owner = self.owner[np.repeat(self.first[i] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(t, weights=n, minlength=len(texts)).astype(np.int64))])
+        for k, length in enumerate(sizes.tolist()):
+            if ends[k] == ends[k + 1]:
+                continue
+            shared = np.bincount(owner[ends[k] : ends[k + 1]], minlength=len(self.n))
+            found = np.flatnonzero(shared >= self.need)
+            size = self.size[found]
+            found = found[(shared[found] + self.spared[found] >= self.least(length / size)) & (self.n[found] * size >= COVERAGE * length - 1e-6)]
+            if len(found):
+                yield k, found
+
+
+_made: dict[str, Sieve] = {}
+
+
+def sieve_of(name: str, records: list[tuple[int, bytes, bool]]) -> Sieve:
     """Built once per worker, which keeps the last one."""
     if name not in _made:
         _made.clear()
-        _made[name] = Shard([(c, np.frombuffer(x, dtype=np.int32), han) for c, x, han in records()])
+        _made[name] = Sieve([(c, np.frombuffer(x, dtype=np.int32), han) for c, x, han in records])
     return _made[name]
 
 
+def covered_texts(ids: list[int], texts: list[np.ndarray], records: list[tuple[int, bytes, bool]], sieve: Sieve) -> Iterator[tuple[int, int, float]]:
+    """(e, t, coverage) of the records and texts that reach COVERAGE, each text scanned by the automaton of the records that the sieve leaves for it and its neighbours."""
+    block: list[int] = []
+    wanted: set[int] = set()
+    size = 0
+
+    def scanned() -> Iterator[tuple[int, int, float]]:
+        shard = Shard([(records[r][0], np.frombuffer(records[r][1], dtype=np.int32), records[r][2]) for r in sorted(wanted)])
+        for k in block:
+            for e, a, z in shard.scan(texts[k].tolist()):
+                if e != ids[k] and min(a, z) >= COVERAGE:
+                    yield e, ids[k], min(a, z)
+
+    for k, found in sieve.likely(texts):
+        new = set(found.tolist()) - wanted
+        block.append(k)
+        wanted |= new
+        size += sum(len(records[r][1]) // 4 for r in new)
+        if size >= AUTOMATON:
+            yield from scanned()
+            block, wanted, size = [], set(), 0
+    if block:
+        yield from scanned()
+
+
 def overlapping_classes(classes: DataFrame, shard: int = SHARD) -> DataFrame:
     """(e, t, coverage) for pairs of an evaluation and another, a training class; classes: c, in_eval, in_train, han, codes.
 
@@ -202,10 +336,10 @@ def overlapping_classes(classes: DataFrame, shard: int = SHARD) -> DataFrame:
         shared = spark.sparkContext.broadcast(records)
 
         def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            made = shard_of(number, lambda: shared.value)
             for b in batches:
-                rows = [(e, t, min(a, z)) for t, x in zip(b["t"], b["codes"]) for e, a, z in made.scan(np.frombuffer(x, dtype=np.int32).tolist()) if e != t]
-                yield pd.DataFrame([r for r in rows if r[2] >= COVERAGE], columns=["e", "t", "coverage"])
+                if len(b) and shared.value:
+                    rows = covered_texts(b["t"].tolist(), [np.frombuffer(x, dtype=np.int32) for x in b["codes"]], shared.value, sieve_of(number, shared.value))
+                    yield pd.DataFrame(list(rows), columns=["e", "t", "coverage"])
 
         out.append(durable(texts.mapInPandas(kernel, "e long, t long, coverage double"), "hits"))
         shared.destroy()

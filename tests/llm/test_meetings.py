@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from colloquy.llm import containers as B
 from colloquy.llm import overlap as O
 from colloquy.llm import pieces as P
 from colloquy.llm import turns as T
+from colloquy.llm.common import FILLER, STAMP, WORD
 
 SCHEMA = "row_id long, split string, source string, utterances array<struct<speaker:string,text:string>>, text string, pos int, cls string, words int"
 
@@ -233,3 +235,63 @@ def test_shards_give_the_same(spark, rows, shard):
     say = lambda texts: [("s", t) for t in texts]
     m = meetings(spark, *((2 * i, "test", say(talk(i))) for i in range(6)), *((2 * i + 1, "train", say(talk(i)[2:])) for i in range(6)))
     assert rows(O.find_overlaps(m, shard), "row_id_a", "row_id_b") == sorted(((2 * i, 2 * i + 1) for i in range(6)), key=lambda r: tuple(map(str, r)))
+
+
+def by_all(records, texts):
+    """(e, t) that one automaton of all records finds."""
+    shard = O.Shard([(c, np.frombuffer(x, dtype=np.int32), han) for c, x, han in records])
+    return {(e, t) for t, x in enumerate(texts) for e, a, z in shard.scan(x.tolist()) if min(a, z) >= O.COVERAGE}
+
+
+def by_sieve(records, texts):
+    return {(e, t) for e, t, _ in O.covered_texts(list(range(len(texts))), texts, records, O.Sieve([(c, np.frombuffer(x, dtype=np.int32), han) for c, x, han in records]))}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.booleans()), min_size=1, max_size=12), st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=60), min_size=1, max_size=6))
+def test_sieve_leaves_out_no_pair(records, texts):
+    data = [(100 + r, np.array(x, dtype=np.int32).tobytes(), han) for r, (x, han) in enumerate(records)]
+    each = [np.array(t, dtype=np.int32) for t in texts]
+    assert by_sieve(data, each) == by_all(data, each)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sieve_with_common_passages(seed, monkeypatch):
+    """Records that share most of their passages with many others, edited in the texts; small automata give the same."""
+    rng = random.Random(seed)
+    stock = [[rng.randrange(50) for _ in range(5)] for _ in range(12)]
+    records = [[w for _ in range(rng.randrange(4, 30)) for w in (rng.choice(stock) if rng.random() < 0.7 else [rng.randrange(9999) for _ in range(5)])] for _ in range(60)]
+    texts = [[w if rng.random() > 0.06 else 77777 for w in rng.choice(records)][rng.randrange(4) :] for _ in range(80)]
+    data = [(1000 + r, np.array(x, dtype=np.int32).tobytes(), r % 5 == 0) for r, x in enumerate(records)]
+    each = [np.array(t, dtype=np.int32) for t in texts]
+    want = by_all(data, each)
+    assert len(want) > 60 and O.Sieve([(c, np.frombuffer(x, dtype=np.int32), h) for c, x, h in data]).spared.sum() > 0
+    assert by_sieve(data, each) == want
+    monkeypatch.setattr(O, "AUTOMATON", 50)
+    assert by_sieve(data, each) == want
+
+
+def test_unlike_texts_meet_no_automaton(monkeypatch):
+    """Texts that share some formulas with every record are told by counting: no automaton is made for them."""
+    rng = random.Random(3)
+    record = lambda: np.array([*range(20), *(rng.randrange(10**6) for _ in range(300))], dtype=np.int32)
+    data = [(r, record().tobytes(), False) for r in range(40)]
+    monkeypatch.setattr(O, "Shard", None)
+    assert by_sieve(data, [record() for _ in range(40)]) == set()
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["u", "h", "m", "e", "r", "U", "M", "E", " ", "-", "'", "you know", "I mean", "as ", ",", "...", "嗯", "哼", "，", "就是說", "那個", "……", "a", "İ mean", "ı mean", "1", "0:05", "1:02:03", ".5", "[", "]", "(", ")", " --> ", "\n"]), max_size=14).map("".join))
+def test_patterns_that_skip_find_what_the_plain_ones_find(text):
+    stamp = re.compile(r"[\[(<〔【]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\])>〕】]|\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?|\d{1,2}:\d{2}:\d{2}\s*-->\s*\d{1,2}:\d{2}:\d{2}")
+    filler = re.compile(
+        r"(?<![\w'])(?:u+h+[ -]huh|mm+[ -]hmm+|u+h+|u+m+|e+r+m+|er|h+mm+|mm+|(?<!as )you know(?=\s*(?:,|\.\.\.|…|-|—))|i mean(?=\s*(?:,|\.\.\.|…|-|—)))(?![\w'])[,.…]*"
+        r"|[嗯呃欸]+哼?[，、。…]*|(?:就是說|那個)(?:[，、]|……|…)",
+        re.I,
+    )
+    assert STAMP.sub("#", text) == stamp.sub("#", text) and FILLER.sub("#", text) == filler.sub("#", text)
+
+
+@given(st.text(st.characters(max_codepoint=127)))
+def test_words_without_other_signs(text):
+    assert text.lower().encode().translate(O._SPACED).decode().split() == WORD.findall(text.lower())
