@@ -43,6 +43,10 @@ _LINE = re.compile(
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+(?:[.,'’][^\W_一-鿿]+)*")
 
 
+#: A token is one of these or holds none.
+_HAN_CHARS = frozenset(map(chr, range(ord("一"), ord("鿿") + 1)))
+
+
 def tokenise(text: str) -> list[str]:
     """Words, and single Han characters, of a lower-cased text without labels, bullets and time stamps of its lines."""
     return _TOKEN.findall(_LINE.sub(" ", text.lower()))
@@ -50,7 +54,7 @@ def tokenise(text: str) -> list[str]:
 
 def han_tokens(words: list[str]) -> np.ndarray:
     """Whether each token is a Han character."""
-    return np.fromiter(("一" <= w <= "鿿" for w in words), dtype=bool, count=len(words))
+    return np.fromiter(map(_HAN_CHARS.__contains__, words), dtype=bool, count=len(words))
 
 
 class Vocabulary:
@@ -90,13 +94,12 @@ def sampled_steps(rep: int) -> list[int]:
 def embed(codes: np.ndarray, starts: np.ndarray, window: int, rep: int) -> np.ndarray:
     """Hash key of each window in one repetition: the sampled steps of its CGK walk. codes: all tokens; starts: of the windows."""
     bits = mixed(codes, 2 * rep + 1)
-    names = mixed(codes, 2 * rep + 2)
     take = set(sampled_steps(rep))
     at, end = starts.astype(np.int64), starts.astype(np.int64) + window - 1
     key = np.full(len(starts), rep + 1, dtype=np.uint64)
-    for step in range(STEPS):
+    for step in range(max(take) + 1):
         if step in take:
-            key = key * np.uint64(0x100000001B3) + names[at]
+            key = key * np.uint64(0x100000001B3) + mixed(codes[at], 2 * rep + 2)
         at += (bits[at] >> np.uint64(step)).astype(np.int64) & 1
         np.minimum(at, end, out=at)
     return key
@@ -128,6 +131,7 @@ class Index:
         self.window, self.stride = WINDOW[han]
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
+        self.weights = [weights_of(w, han) for w in self.words]
         vocabulary = Vocabulary()
         parts, starts, owner, offset, base = [], [], [], [], 0
         for n, words in enumerate(self.words):
@@ -242,16 +246,15 @@ def stretch_in_band(item: np.ndarray, doc: np.ndarray, diagonal: int, weights: n
     if hi <= lo:
         return 0
     padded[lo - first : hi - first] = doc[lo:hi]
-    same = np.lib.stride_tricks.sliding_window_view(padded, 2 * band + 1) == item[:, None]
+    same = np.ndarray((n, 2 * band + 1), np.uint64, padded, strides=padded.strides * 2) == item[:, None]
     # Exact necessary conditions first. A stretch with so few changes has a long run on one diagonal, and a part of least length with few tokens outside of runs.
-    if not _runs(same, 6 if not han else BETWEEN[True]).any():
+    runs = _runs(same, BETWEEN[han])
+    if not (runs if han else runs[:-3] & runs[3:]).any():
         return 0
-    inside = np.zeros(n + 1, dtype=np.int64)
-    for k in np.flatnonzero(_runs(same, BETWEEN[han]).any(axis=1)):
-        inside[k] += 1
-        if k + BETWEEN[han] <= n:
-            inside[k + BETWEEN[han]] -= 1
-    covered = np.concatenate([[0], (weights * (inside.cumsum()[:-1] > 0)).cumsum()])
+    begun, inside = runs.any(axis=1), np.zeros(n, dtype=bool)
+    for j in range(BETWEEN[han]):
+        inside[j : j + len(runs)] |= begun
+    covered = np.concatenate([[0], (weights * inside).cumsum()])
     reach = LEAST[han] if not han else n
     if reach <= n and (covered[reach:] - covered[:-reach]).max() < (LEAST[han] - 8 if not han else (1 - SHARE[True]) * LEAST[han]):
         return 0
@@ -297,15 +300,21 @@ def stretch_in_band(item: np.ndarray, doc: np.ndarray, diagonal: int, weights: n
     return best
 
 
-def enough(item: np.ndarray, words: list[str], doc: np.ndarray, diagonal: int, han: bool) -> bool:
-    """Whether the document holds, around a diagonal, a stretch of the item that counts. item, doc: codes; words: of the item."""
+def weights_of(words: list[str], han: bool) -> np.ndarray:
+    """What each token counts in a stretch: one word, or its characters."""
+    return np.fromiter(map(len, words), dtype=np.int64, count=len(words)) if han else np.ones(len(words), dtype=np.int64)
+
+
+def enough(item: np.ndarray, weights: np.ndarray, doc: np.ndarray, diagonal: int, han: bool) -> bool:
+    """Whether the document holds, around a diagonal, a stretch of the item that counts. item, doc: codes; weights: of the item's tokens."""
     if not han:  # without shifts one comparison tells
         lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
         if hi > lo:
-            start, end = stretch(item[lo:hi] == doc[lo + diagonal : hi + diagonal])
-            if end - start >= LEAST_WORDS:
-                return True
-    weights = np.array([len(w) for w in words]) if han else np.ones(len(words), dtype=np.int64)
+            same = item[lo:hi] == doc[lo + diagonal : hi + diagonal]
+            if np.count_nonzero(same) >= (1 - SHARE[False]) * LEAST_WORDS - 1e-6:
+                start, end = stretch(same)
+                if end - start >= LEAST_WORDS:
+                    return True
     return stretch_in_band(item, doc, diagonal, weights, han) >= LEAST[han]
 
 
@@ -325,18 +334,16 @@ def probe(batches: Iterator[pd.DataFrame], indexes: dict[bool, Index]) -> Iterat
             starts = index.possible(script, np.concatenate(starts) if starts else np.empty(0, dtype=np.int64))
             place, own = index.candidates(codes, starts)
             tried: dict[tuple[int, int], list[int]] = {}
-            for s, o in zip(starts[place], own):
-                d = int(np.searchsorted(base, s, side="right") - 1)
-                n = int(index.owner[o])
+            at = starts[place]
+            doc = np.searchsorted(base, at, side="right") - 1
+            for d, n, diagonal in zip(doc.tolist(), index.owner[own].tolist(), (at - base[doc] - index.offset[own]).tolist()):
                 if (d, n) in out:
                     continue
-                at, off = int(s - base[d]), int(index.offset[o])
                 done = tried.setdefault((d, n), [])
-                diagonal = at - off
                 if any(abs(diagonal - x) <= BAND[han] // 2 for x in done):
                     continue
                 done.append(diagonal)
-                if enough(index.item_codes(n), index.words[n], codes[base[d] : base[d + 1]], diagonal, han):
+                if enough(index.item_codes(n), index.weights[n], codes[base[d] : base[d + 1]], diagonal, han):
                     out.add((d, n))
             if out:
                 rows = [(b["doc_id"].iloc[d], index.ids[n]) for d, n in out]
@@ -373,10 +380,11 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, n, text, item, diagonals, han in b[["doc_id", "item_id", "text", "item", "diagonals", "han"]].itertuples(index=False, name=None):
             words = tokenise(item)
             codes, doc, done = vocabulary.codes(words), vocabulary.codes(tokenise(text)), []
+            weights = weights_of(words, han)
             for x in sorted(diagonals):
                 if not done or x - done[-1] > BAND[han] // 2:
                     done.append(x)
-                    if enough(codes, words, doc, int(x), han):
+                    if enough(codes, weights, doc, int(x), han):
                         out.append((d, n))
                         break
         if out:

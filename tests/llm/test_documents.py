@@ -368,3 +368,38 @@ def test_lexicon_larger_than_the_driver_takes(spark, rows, monkeypatch):
     whole, masks = rows(P.find_pii(df)), rows(P.mask_pii(df))
     monkeypatch.setattr(P, "LEXICON", 1)
     assert len(whole) == 3 * len(said) and rows(P.find_pii(df)) == whole and rows(P.mask_pii(df)) == masks
+
+
+def test_few_equal_words_are_told_by_counting(monkeypatch):
+    """A diagonal that holds too few equal words for a stretch with so many changes is not searched for runs."""
+    vocabulary, rng = L.Vocabulary(), random.Random(4)
+    item = prose(rng, 60)
+    doc = [w if k % 3 == 0 or 10 <= k < 19 else "zz" for k, w in enumerate(item)]
+    codes = vocabulary.codes(item)
+    searched = []
+    monkeypatch.setattr(L, "stretch", lambda same: searched.append(1) or (0, 0))
+    few = vocabulary.codes(doc[:40])
+    assert np.count_nonzero(codes[:40] == few) < 22
+    assert not L.enough(codes, L.weights_of(item, False), few, 0, False) and not searched
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_stretch_is_lost_by_counting(seed):
+    """Wherever stretch() finds enough words, so does enough(), down to the least equal ones."""
+    rng = random.Random(seed)
+    n = 0
+    for _ in range(3000):
+        item = np.array([rng.randrange(10**9) for _ in range(rng.randrange(25, 40))], dtype=np.uint64)
+        doc = item.copy()
+        for k in rng.sample(range(len(item)), rng.randrange(6)):
+            doc[k] += np.uint64(1)
+        a, z = L.stretch(item == doc)
+        if z - a >= L.LEAST_WORDS:
+            n += 1
+            assert L.enough(item, np.ones(len(item), dtype=np.int64), doc, 0, False)
+    assert n > 500
+
+
+def test_han_tokens():
+    words = ["一", "鿿", "中", "word", "ⅷ", "가나", "ﬀ", "㐀", "ꀀ", "12", "café"]
+    assert L.han_tokens(words).tolist() == [True, True, True] + [False] * 8
